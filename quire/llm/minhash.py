@@ -68,22 +68,20 @@ def values(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document: its set's size, fingerprints and minwise values."""
+    """A row for each document: its set's size, a fingerprint and minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, checks, sigs = [], [], [], []
+            sizes, keys, sigs = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), size)
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 sizes.append(len(s))
-                keys.append((digest & (1 << 64) - 1) - (1 << 63))
-                checks.append((digest >> 64) - (1 << 63))
+                keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 sigs.append(minwise(s))
             sig = binary(np.array(sigs, np.uint16).reshape(-1, VALUES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), sig], ["doc_id", "n", "key", "check", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), sig], ["doc_id", "text_hash", "n", "key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key bigint, check bigint, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key bigint, sig binary")
 
 
 def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -202,7 +200,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (``doc_id``, ``text``; others are ignored).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
     Two documents are linked if their sets of word shingles have 100 * intersection >= percent * union.  Documents
     with equal sets form a class.  Classes descend TREES random trees: at each node they are dealt out by their
@@ -274,8 +272,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     placed = named.join(least, "comp").select(F.col("id").alias("key"), "component_id")
     out = all_.withColumn("join_key", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key"))).join(placed.withColumnRenamed("key", "join_key"), "join_key", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns; of rows that repeat a doc_id and text one
+    stays."""
+    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    whole = whole.dropDuplicates(["doc_id", "text_hash"])
+    return whole.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi").select("row.*")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
