@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, linededup, minhash, packing, quality, repair, topk
+from quire.llm import ann, linededup, lm, minhash, packing, quality, repair, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
+    "op9_pitman_yor": lm.op9_pitman_yor,
     "op10_repair_ids": repair.op10_repair_ids,
 }
 SQL: dict[str, str] = {"op3_line_dedup": linededup.OP3_SQL, "op6_exact_topk": topk.OP6_SQL}
