@@ -43,3 +43,11 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(names: list[str]) -> str:
+    """A column name that isn't taken, whatever its case."""
+    name = "_value"
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
