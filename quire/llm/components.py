@@ -12,7 +12,7 @@ def _star(edges: DataFrame) -> DataFrame:
     """One round: each vertex ties its larger neighbours, then its smaller ones, to the least of them."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     down = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(down, "a")
     return small.select(F.col("a"), F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()

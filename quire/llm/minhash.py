@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from quire.llm import common
 from quire.llm.components import components
 
-#: Minwise values of a document, 16 bits of each; how many two documents must share to be compared in full: at
-#: similarity 0.8 a pair shares 51 on average and fewer than 38 once in 100,000.
-VALUES, SHARED = 64, 38
-#: Independent trees, children that each document enters at a node, documents of a node that are compared one by one.
-TREES, BRANCHES, SMALL = 4, 2, 256
-#: Documents of a large node that all its others are compared with, partners that a document is tied to at first in a
-#: small one, and the depth from which large nodes are compared in blocks.
-PIVOTS, PARTNERS, DEPTH = 3, 2, 10
+#: Minwise values of a document, 8 bits of each; how many two documents must share to be compared in full: at
+#: similarity 0.8 a pair shares 205 on average and fewer than 176 once in 300,000.
+VALUES, SHARED = 256, 176
+#: Independent trees, children that each document enters at a node, levels that are descended at once, and documents
+#: of a node that are compared one by one.
+TREES, BRANCHES, START, SMALL = 4, 2, 2, 256
+#: Central documents of a large node that all its others are compared with, minwise values that say which are central,
+#: and the depth at which large nodes are compared in blocks.
+PIVOTS, CENTRAL, DEPTH = 2, 32, 12
+#: Rounds of comparison: values that a pair must share, and partners that a document is tied to in a node.
+ROUNDS = ((205, 2), (190, 16), (SHARED, None))
+#: Ids that are sent to all tasks at most; more are joined by shuffle.
+SENT = 200_000
 
 _U = np.uint64
 
@@ -49,11 +54,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of the least value under each of VALUES permutations."""
+    """8 bits of the least value under each of VALUES permutations."""
     least = np.full(VALUES, ~_U(0))
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[None, at : at + 4096] * _FACTORS[:, None]).min(1))
-    return (mix(least) >> _U(48)).astype(np.uint16)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[None, at : at + 1024] * _FACTORS[:, None]).min(1))
+    return (mix(least) >> _U(56)).astype(np.uint8)
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -64,7 +69,7 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def values(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -78,7 +83,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 sigs.append(minwise(s))
-            sig = binary(np.array(sigs, np.uint16).reshape(-1, VALUES))
+            sig = binary(np.array(sigs, np.uint8).reshape(-1, VALUES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), sig], ["doc_id", "text_hash", "n", "key", "sig"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key bigint, sig binary")
@@ -93,26 +98,32 @@ def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def enter(rows: DataFrame, root: bool) -> DataFrame:
-    """(node, id) of the children of each row's node, or of the roots of all trees."""
+def enter(rows: DataFrame, trees: int | None, extra: str = "") -> DataFrame:
+    """(node, id, and ``extra`` columns) of the children of each row's node; with ``trees``, of the nodes START levels
+    down from so many roots."""
+    kinds = {"n": "bigint", "comp": "bigint", "sig": "binary"}
+    more = extra.split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, ids = values(batch.column("sig")), batch.column("id").to_numpy()
-            if root:
-                seeds = mix(np.arange(1, TREES + 1, dtype=_U))
-                node, sig, ids = np.tile(seeds, len(ids)), np.repeat(sig, TREES, 0), np.repeat(ids, TREES)
+            sig, at = values(batch.column("sig")), np.arange(batch.num_rows)
+            if trees:
+                at = np.repeat(at, trees)
+                node = np.tile(mix(np.arange(1, trees + 1, dtype=_U)), batch.num_rows)
             else:
                 node = batch.column("node").to_numpy().astype(_U)
-            yield pa.RecordBatch.from_arrays([pa.array(children(node, sig).ravel().astype(np.int64)), pa.array(np.repeat(ids, BRANCHES))], ["node", "id"])
+            for _ in range(START if trees else 1):
+                node, at = children(node, sig[at]).ravel(), np.repeat(at, BRANCHES)
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *(batch.column(c).take(rows) for c in ("id", *more))], ["node", "id", *more])
 
-    return rows.mapInArrow(run, "node bigint, id bigint")
+    return rows.mapInArrow(run, ", ".join(["node bigint", "id bigint", *(f"{c} {kinds[c]}" for c in more)]))
 
 
-def near_pairs(rows: DataFrame, percent: int, partners: int | None) -> DataFrame:
+def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None) -> DataFrame:
     """Pairs (a, b) of one node that differ in component and may be similar.  Rows of a node come one after the
-    other; they are compared at distance 1, 2, ... for all nodes of a batch at once.  With ``partners``, an id is
-    paired with so many later ones only."""
+    other; they are compared at distance 1, 2, ... for all nodes of a batch at once.  With ``partners``, a pair whose
+    ids both have so many is left out, so that no id with a partner is left without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -138,15 +149,16 @@ def near_pairs(rows: DataFrame, percent: int, partners: int | None) -> DataFrame
             at = at[node[at] == node[at + lag]]
             if not len(at):
                 return
-            for i in (at[k : k + 100_000] for k in range(0, len(at), 100_000)):
+            for i in (at[k : k + 20_000] for k in range(0, len(at), 20_000)):
                 j = i + lag
                 ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 if partners is not None:
-                    ok &= given[i] < partners
+                    ok &= (given[i] < partners) | (given[j] < partners)
                 i, j = i[ok], j[ok]
-                ok = (sig[i] == sig[j]).sum(1) >= SHARED
+                ok = np.count_nonzero(sig[i] == sig[j], axis=1) >= shared
                 i, j = i[ok], j[ok]
                 given[i] += 1
+                given[j] += 1
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
@@ -155,10 +167,15 @@ def near_pairs(rows: DataFrame, percent: int, partners: int | None) -> DataFrame
 
 
 def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each row of a large node with those of its pivots that it may be similar to."""
+    """Pairs of each row of a large node with those of its pivots that it may be similar to.  The pivots are central:
+    they share the most frequent minwise values of the node, so of a group of copies of one text it is those nearest
+    to that text."""
+    lead = [F.hex(F.substring("sig", i + 1, 1)) for i in range(CENTRAL)]
+    usual = rows.groupBy("node").agg(*(F.mode(x).alias(f"m{i}") for i, x in enumerate(lead)))
+    off = sum(((x != F.col(f"m{i}")).cast("int") for i, x in enumerate(lead)), F.lit(0))
     as_pivot = F.struct("id", "n", "comp", "sig")
-    pick = [F.min_by(as_pivot, F.xxhash64(F.lit(i), "id")).alias(f"p{i}") for i in range(PIVOTS)]
-    chosen = rows.groupBy("node").agg(*pick)
+    pick = [F.min_by(as_pivot, F.struct(off, F.xxhash64(F.lit(i), "id"))).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = narrowed(rows, usual, "node", "inner").groupBy("node").agg(*pick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,20 +185,32 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 p = batch.column(f"p{i}")
                 pid, pn, pcomp = (p.field(k).to_numpy() for k in (0, 1, 2))
                 ok = (comp != pcomp) & (100 * np.minimum(n, pn) >= percent * np.maximum(n, pn))
-                ok &= (sig == values(p.field(3))).sum(1) >= SHARED
+                ok &= np.count_nonzero(sig == values(p.field(3)), axis=1) >= SHARED
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, pid)[ok]), pa.array(np.maximum(ids, pid)[ok])], ["a", "b"])
 
-    return rows.join(chosen, "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return narrowed(rows, chosen, "node", "inner").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: common.Scratch, name: str) -> DataFrame:
-    """The pairs whose full sets are similar.  ``texts`` (id, text) holds one document for each id."""
+def narrowed(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """A join with a table of ids, which is sent to all tasks if it is small."""
+    return rows.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, key, how)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, hashes) of the classes in ``wanted`` (id, doc_id, text_hash): the whole set of one of their documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), size).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "hashes"])
 
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return narrowed(hashed, wanted, ["doc_id", "text_hash"], "inner").select("id", "text").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, hashes binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -191,12 +220,8 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = scratch.keep(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, hashes binary"), f"{name}-sets")
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(held.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    links = scratch.keep(joined.mapInArrow(check, "a bigint, b bigint"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -205,9 +230,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Two documents are linked if their sets of word shingles have 100 * intersection >= percent * union.  Documents
     with equal sets form a class.  Classes descend TREES random trees: at each node they are dealt out by their
     minwise values at BRANCHES chosen positions, until a node is small and its documents are compared with each
-    other.  In a large node all are compared with a few pivots first; a node whose documents are already one
-    component needs no more, which ends the descent of large groups of near copies.  Candidate pairs are confirmed
-    on full sets.  A pair of similarity 0.8 is missed by all trees less than once in 10,000.
+    other.  First, all documents of a large node of one tree are compared with its central ones.  A node whose documents
+    are one component needs no more; where only a few are not, these are compared with all the others, so that large
+    groups of near copies descend no further.  Comparisons go in rounds: the most similar few partners of each document,
+    then more, then all that are still in another component.  Candidate pairs are
+    confirmed on full sets.  A pair of similarity 0.8 is missed by all trees less than once in 10,000.
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.  A null doc_id is
     returned as its own component (null) and kept.  Repeated rows are returned as often as they stand there, all
@@ -217,57 +244,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     scratch = common.Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = scratch.keep(sketches(docs, size), "sketches")
-    sets = all_.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(F.col("key").alias("id"), "least", "n", "sig"), "classes")
-    # the text of a class is that of its first document
-    texts = docs.join(sets.select("doc_id", "key").join(classes.select(F.col("id").alias("key"), "least"), "key").filter("doc_id = least").select("doc_id", F.col("key").alias("id")), "doc_id").select("id", "text").dropDuplicates(["id"])
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    links, comps = none, spark.createDataFrame([], "id bigint, component bigint")
+    held = all_.filter("n > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    classes = held.groupBy(F.col("key").alias("id")).agg(first.alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.keep(classes.select("id", F.col("f.doc_id").alias("least"), F.col("f.text_hash").alias("text_hash"), "n", "sig"), "classes")
+    comps = spark.createDataFrame([], "id bigint, component bigint")
+    sets = links = tried = None
     rounds = 0
 
     def known(rows: DataFrame) -> DataFrame:
         return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
     def confirm(pairs: DataFrame) -> None:
-        nonlocal links, comps, rounds
+        nonlocal links, comps, rounds, sets, tried
         rounds += 1
-        pairs = scratch.keep(pairs, f"pairs-{rounds}")
+        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{rounds}")
         if pairs.isEmpty():
             return
-        links = links.union(similar(pairs, texts, size, percent, scratch, f"round-{rounds}"))
-        comps = scratch.keep(components(links, scratch, f"comp-{rounds}"), f"comps-{rounds}")
-
-    entries = scratch.keep(enter(classes, root=True), "level-0")
-    leaves: list[DataFrame] = []
-    for level in range(DEPTH):
-        held = known(entries)
-        mixed = held.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
-        mixed = scratch.keep(mixed, f"mixed-{level}")
-        live = scratch.keep(entries.join(mixed, "node"), f"live-{level}")
+        tried = pairs if tried is None else tried.union(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti")
+        wanted = scratch.keep(classes.select("id", F.col("least").alias("doc_id"), "text_hash").join(wanted, "id", "left_semi"), f"wanted-{rounds}")
+        if not wanted.isEmpty():
+            more = scratch.keep(full_sets(docs, wanted, size), f"sets-{rounds}")
+            sets = more if sets is None else sets.union(more)
+        found = scratch.keep(confirmed(pairs, sets, percent), f"links-{rounds}")
+        links = found if links is None else links.union(found)
+        comps = components(links, scratch, f"comp-{rounds}")
+
+    large = enter(classes, 1).groupBy("node").count().filter(F.col("count") > SMALL).select("node")
+    large = scratch.keep(large, "hubs")
+    if not large.isEmpty():
+        confirm(pivot_pairs(narrowed(enter(classes.withColumn("comp", F.col("id")), 1, "n comp sig"), large, "node", "inner"), percent))
+    entries, leaves, level = enter(known(classes), TREES, "comp"), [], 0
+    while True:
+        mixed = entries.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
+        live = scratch.keep(narrowed(entries.select("node", "id"), scratch.keep(mixed, f"mixed-{level}"), "node", "inner"), f"live-{level}")
         leaves.append(live.filter(F.col("c") <= SMALL).select("node", "id"))
-        large = live.filter(F.col("c") > SMALL).select("node", "id").join(classes, "id")
-        scratch.drop(f"level-{level}")
-        if live.filter(F.col("c") > SMALL).isEmpty():
+        large = live.filter(F.col("c") > SMALL)
+        if large.isEmpty():
             break
-        if level == DEPTH - 1:  # what no value divides is compared in blocks of the same size
+        level += 1
+        if START + level >= DEPTH:  # what no value divides is compared in blocks of the same size
             blocks = F.ceil(F.col("c") / SMALL)
-            own = F.pmod(F.xxhash64(F.lit(5), "id"), blocks)
-            cells = live.filter(F.col("c") > SMALL).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            cells = large.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             leaves.append(cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id"))
             break
-        confirm(pivot_pairs(known(large), percent))
-        entries = scratch.keep(enter(large.select("node", "id", "sig"), root=False), f"level-{level + 1}")
+        large = scratch.keep(known(large), f"large-{level}")
+        sizes = large.groupBy("node", "comp").count()
+        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("all"))
+        large = scratch.keep(narrowed(large, scratch.keep(main, f"main-{level}"), "node", "inner"), f"split-{level}")
+        # one component and few others: each of the others meets all of it, a block at a time
+        few = large.filter(F.col("others") <= SMALL).withColumn("blocks", F.ceil(F.col("all") / SMALL))
+        own = F.array(F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
+        met = few.withColumn("b", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        leaves.append(met.select(F.xxhash64("node", F.lit(level), "b").alias("node"), "id"))
+        below = enter(large.filter(F.col("others") > SMALL).select("node", "id").join(classes.select("id", "sig"), "id"), None)
     small = leaves[0]
     for more in leaves[1:]:
         small = small.union(more)
-    tried = none
-    for partners in (PARTNERS, None):
-        if partners is None:  # only nodes whose documents are still of several components
-            open_ = scratch.keep(known(small).groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node"), "open")
-            small = small.join(open_, "node")
-        pairs = near_pairs(known(small.join(classes.select("id", "n", "sig"), "id")), percent, partners).join(tried, ["a", "b"], "left_anti")
-        confirm(pairs)
-        tried = tried.union(spark.read.schema("a bigint, b bigint").parquet(f"{scratch.root}/pairs-{rounds}"))
+    for shared, partners in ROUNDS:
+        if rounds and links is not None:  # only nodes whose documents are still of several components
+            open_ = known(small).groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
+            small = scratch.keep(narrowed(small, scratch.keep(open_, f"open-{rounds}"), "node", "inner"), f"small-{rounds}")
+        confirm(near_pairs(known(small.join(classes.select("id", "n", "sig"), "id")), percent, shared, partners))
     named = known(classes.select("id", "least"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     placed = named.join(least, "comp").select(F.col("id").alias("key"), "component_id")
