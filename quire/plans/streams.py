@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import units
 from quire.plans.registry import SQL, add
 from quire.plans.work import VALID
-from quire.sources import scratch, views
+from quire.sources import ingest, scratch, views
 from quire.streaming import jobs
 
 
@@ -55,6 +55,14 @@ def live_dedupe(s: SparkSession, d: str) -> DataFrame:
     return jobs.to_table(jobs.event_dedupe(stream), f"{root}/out", f"{root}/checkpoint").select("run_id", "line_no", "type", "text", "error")
 
 
+def stored(s: SparkSession, d: str) -> DataFrame:
+    """The memory written in folders of volumes and read again."""
+    path = f"{scratch.folder(s, 'memory')}/table"
+    ingest.write_table(views.memory(s, d).repartition("tag"), path)
+    return s.read.parquet(path).select("tag", "text", "vi")
+
+
+add("sink_tm", stored, "SELECT tag, text, vi FROM v_memory")
 add("stream_outputs_to_tm", outputs_to_memory, SQL["merge_translations"], plain=True)
 add("stream_generation_filter", fresh_outputs, "SELECT tag, idx FROM v_outputs WHERE substr(md5(idx || tag), 1, 1) < 'c'")
 add("stream_progress", live_progress, f"{VALID} SELECT tag, count(*) FILTER (valid) AS done, count(*) AS total FROM v_valid GROUP BY tag")
