@@ -18,8 +18,8 @@ END = 2
 #: Ids of one grammar; a document is never divided, so a longer one has a grammar of its own.
 BLOCK_IDS = 1_000_000
 #: Passes over a block, rules that a pass may add, and uses that a rule needs.
-PASSES, RULES, LEAST = 5, 2048, 12
-_BITS = 20
+PASSES, RULES, LEAST = 4, 2048, 12
+_BITS = 18
 
 
 def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -32,16 +32,18 @@ def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     Pairs are counted in a hashed table; each slot stands for the pair seen last in it, counted exactly."""
     left, right = seq[:-1], seq[1:]
     slot = _hash(left, right)
-    last = np.zeros(1 << _BITS, np.int64)
-    last[slot] = np.arange(len(slot))
-    own = last[slot]
-    same = (left[own] == left) & (right[own] == right)
-    counts = np.bincount(slot, same, 1 << _BITS)
+    last = np.zeros(1 << _BITS, np.int32)
+    last[slot] = np.arange(len(slot), dtype=np.int32)
+    pair = left.astype(np.uint64) << np.uint64(32) | right
+    same = pair[last][slot] == pair
+    counts = np.bincount(slot[same], minlength=1 << _BITS)
     best = np.flatnonzero(counts >= LEAST)
     best = best[np.argsort(-counts[best], kind="stable")][:RULES]
     place = np.full(1 << _BITS, len(best), np.int32)
     place[best] = np.arange(len(best))
-    return left[last[best]], right[last[best]], np.where(same, place[slot], len(best))
+    own = place[slot]
+    own[~same] = len(best)
+    return left[last[best]], right[last[best]], own
 
 
 def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +55,10 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray]:
         left, right, place = frequent_pairs(seq)
         if not len(left):
             break
-        edge = np.append(place, len(left))
-        at = np.arange(len(place))
-        fresh = np.ones(len(place), bool)
-        fresh[1:] = place[1:] != place[:-1]
-        even = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
-        ahead, behind = edge[1:] >= place, np.ones(len(place), bool)
-        behind[1:] = place[:-1] >= place[1:]
-        take = np.flatnonzero((place < len(left)) & even & ahead & behind)  # of overlapping pairs the most frequent
+        edge = np.concatenate(([len(left)], place, [len(left)]))
+        take = np.flatnonzero((place < len(left)) & (edge[2:] >= place) & (edge[:-2] >= place))  # of overlapping pairs the most frequent
+        row = np.flatnonzero(np.diff(take, prepend=-2) != 1)  # and every other one of a run of the same
+        take = take[(np.arange(len(take)) - np.repeat(row, np.diff(np.append(row, len(take))))) % 2 == 0]
         used, which = np.unique(place[take], return_inverse=True)
         seq[take] = (first_free + len(rules) + which).astype(np.uint32)
         rules = np.concatenate([rules, np.stack([left[used], right[used]], 1)])

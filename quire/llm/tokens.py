@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker remembers before it starts afresh, and characters that it handles at a time.
-WORDS, CHARS = 400_000, 1_000_000
+WORDS, CHARS = 800_000, 1_000_000
 # Below U+0100 texts are in composed form already and lower case goes letter by letter, so the tokenizer's own pattern
 # can be applied here: contractions, letters, single digits, other marks.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -26,9 +26,10 @@ def words_of(text: str) -> list[str]:
 
 
 def latin(word: str) -> bool:
-    with contextlib.suppress(UnicodeEncodeError):
+    try:
         return word.isascii() or bool(word.encode("latin-1"))
-    return False
+    except UnicodeEncodeError:
+        return False
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,28 +63,37 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def merged(self, part: str) -> list[int]:
-        """The ids of a part that the pattern cut out."""
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = part if part.isalpha() and part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.merge(letters)]
+    def merged(self, part: str, fresh: dict[str, list[int]]) -> list[int]:
+        """The ids of a part that the pattern cut out: a known word's, those found just before, or new ones."""
+        at = self.index.get(part)
+        if at is not None:
+            return self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+        letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+        ids = fresh[part] = [t.id for t in self.merge(letters)]
         return ids
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.index) + len(new) > WORDS:
-            self.clear()
-        words = [w for w in new if w not in self.index]
-        plain = [w for w in words if latin(w) and "<|" not in w]
-        other = [w for w in words if not (latin(w) and "<|" not in w)]
-        words = plain + other
-        found = [[i for part in _LATIN.findall(w.lower()) for i in self.merged(part)] for w in plain]
-        found += [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+    def learn(self, words: list[str]) -> None:
+        found, later, fresh, merged = [], [], {}, self.merged
+        for n, w in enumerate(words):
+            low = w.lower()
+            if low.isascii() and low.isalpha():
+                found.append(fresh.get(low) or merged(low, fresh))
+            elif latin(w) and "<|" not in w:
+                cut = _LATIN.findall(low)
+                if len(cut) == 1:
+                    found.append(fresh.get(cut[0]) or merged(cut[0], fresh))
+                else:
+                    found.append([i for part in cut for i in fresh.get(part) or merged(part, fresh)])
+            else:
+                found.append([])
+                later.append(n)
+        if later:
+            for n, e in zip(later, self.tokenizer.encode_batch_fast([words[n] for n in later], add_special_tokens=False)):
+                found[n] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
@@ -94,10 +104,15 @@ class WordEncoder:
             before = len(words)
             words += words_of(part)
             counts.append(len(words) - before)
-        distinct = set(words)
-        if new := distinct.difference(self.index):
-            self.learn(distinct if len(self.index) + len(new) > WORDS else new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(unknown := np.flatnonzero(at < 0)):
+            new = {words[i] for i in unknown.tolist()}
+            if len(self.index) + len(new) > WORDS:  # start afresh with this part's words
+                self.clear()
+                new = set(words)
+                unknown = np.arange(len(words))
+            self.learn(list(new))
+            at[unknown] = np.fromiter((self.index[words[i]] for i in unknown.tolist()), np.int64, len(unknown))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
