@@ -21,6 +21,8 @@ BLOCK = 512
 #: Queues that are told apart; smaller sources share the last one.
 QUEUES = 1024
 END = 1
+#: Rows of the table of queue offsets that are sent to all tasks at most; a larger one is joined by shuffle.
+SENT = 500_000
 
 
 class Mixture:
@@ -108,6 +110,11 @@ class Mixture:
             lo += 1
 
 
+def id_kind(ids: int) -> str:
+    """The least kind of integer that holds so many ids."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     """One row for each document: its part of the input, its source, its ids and the tokens of its source before it
     in its part."""
@@ -115,6 +122,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, row = TaskContext.get().partitionId(), {}, 0
         enc = tokens.encoder(path)
+        kind = id_kind(max(enc.tokenizer.get_vocab_size(True), end + 1))
         for batch in batches:
             texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
             for first, ids, sizes in enc.encode(texts, end):
@@ -123,9 +131,9 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
                 for s, size in zip(sources[first : first + n], sizes.tolist()):
                     before.append(seen.get(s, 0))
                     seen[s] = before[-1] + size
-                wide = ids.astype("<u4")
-                offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(4 * sizes))).astype(np.int32))
-                data = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(wide)])
+                short = ids.astype(kind)
+                offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(short.itemsize * sizes))).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(short)])
                 rows = slice(first, first + n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column("doc_id")[rows], batch.column("source")[rows], pa.array(before, pa.int64()), pa.array(sizes), data],
@@ -165,6 +173,8 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, float] | N
     placed = sums.join(F.broadcast(queues), sums["source"].eqNullSafe(queues["source"]), "left").select("part", sums["source"].alias("source"), F.coalesce("queue", F.lit(len(named))).alias("queue"), "n")
     order = Window.partitionBy("queue").orderBy("part", F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
     base = placed.select("part", F.col("source").alias("_source"), "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    if base.limit(SENT + 1).count() <= SENT:  # a row for each source of each part of the input
+        base = F.broadcast(base)
     held = held.join(base, (held["part"] == base["part"]) & held["source"].eqNullSafe(base["_source"])).select(held["part"], "queue", "doc_id", "source", (F.col("base") + F.col("before")).alias("first"), "n_tokens", "ids")
     total, (totals_, weights_) = mixture.total, (mixture.totals.tolist(), mixture.weights.tolist())
     del mixture
@@ -185,7 +195,7 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, float] | N
                     doc = np.searchsorted(firsts[run], points, "right") - 1
                     win = np.searchsorted(edge, points, "right") - 1
                     start, length = points - firsts[run][doc], np.diff(np.append(points, stop))
-                    held_ids = [memoryview(ids[int(r)].as_buffer()) for r in run]
+                    held_ids = [memoryview(np.frombuffer(ids[int(r)].as_buffer(), f"<u{len(ids[int(r)].as_buffer()) // sizes[r]}").astype("<u4")).cast("B") for r in run]
                     parts = [held_ids[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
                     which = pa.array(run[doc])
                     cols = [batch.column("doc_id").take(which), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(sizes[run][doc]), pa.array(seq[win]), pa.array(at[win] + points - edge[win]), batch.column("source").take(which)]
