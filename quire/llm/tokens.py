@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker remembers before it starts afresh, and characters that it handles at a time.
-WORDS, CHARS = 800_000, 1_000_000
+WORDS, CHARS = 1_100_000, 1_000_000
 # Below U+0100 texts are in composed form already and lower case goes letter by letter, so the tokenizer's own pattern
 # can be applied here: contractions, letters, single digits, other marks.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
