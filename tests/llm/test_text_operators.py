@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quire.llm import common, linededup, lm, minhash, packing, quality, repair, spm, tokens, words
@@ -300,6 +301,34 @@ def test_quality_is_learned_and_rows_survive(spark, docs, odd):
     assert quality.select_good(frame(spark, []), bare).count() == 0
 
 
+@pytest.mark.parametrize("size, most, apart", [("sf0.001", 1.0, 0.1), ("sf0.01", 0.25, 1.0), ("sf0.1", 0.1, 1.5)])
+def test_held_out_toxic_documents_are_told_apart(size, most, apart):
+    """Of each size at most so many are selected, and so much lower is their grade than that of good ones.  At sf0.001
+    8 toxic documents are learned from, half of them without an insult: held-out ones only sink there."""
+    table = lambda name: pq.read_table(f"/root/testdata/{size}/{name}.parquet").to_pandas().set_index("doc_id")
+    labels = table("labels").join(table("documents")["text"], how="inner")
+    grades, ids = np.where(labels.toxic == 1, 0, 1 + labels.quality).astype(np.int64), labels.index.to_numpy()
+    tails = np.zeros((len(ids), 2))
+    for fold in range(4):
+        out = ids % 4 == fold
+        model = quality.fit(*quality.features(pa.array(labels.text[~out])), grades[~out], np.ones((~out).sum()), 3)
+        tails[out] = model.tails(*quality.features(pa.array(labels.text[out])), out.sum())
+    toxic, good = tails[grades == 0], tails[grades == 2]
+    assert (toxic[:, 1] >= quality.LEAST_TAIL).mean() <= most
+    assert toxic.sum(1).mean() < good.sum(1).mean() - apart
+    assert (good[:, 1] >= quality.LEAST_TAIL).mean() > 0.95
+
+
+def test_every_word_of_the_sample_has_a_weight():
+    texts = ["good plain words"] * 60 + ["good vile words"] * 2 + ["good words odd"]
+    row, feat, value = quality.features(pa.array(texts))
+    grades = np.array([2] * 60 + [0] * 2 + [1])
+    model = quality.fit(row, feat, value, grades, np.ones(63), 3)
+    assert set(model.names) == set(feat)
+    tails = model.tails(*quality.features(pa.array(["good plain words", "good vile words"])), 2)
+    assert tails[1, 1] < tails[0, 1] - 0.3
+
+
 def test_model_scores_and_base(docs, texts):
     rows = {r.doc_id: r for r in lm.score(docs, docs.filter(~lm.held_out())).collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
