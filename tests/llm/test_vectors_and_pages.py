@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +123,21 @@ def test_runs_that_other_pages_repeat_go(spark):
     assert pages_.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_keep_their_text(spark):
+    """Copied rows, one page under two URLs, pages without a host, and a paragraph of 2 of 12 pages keep their text;
+    the menu of all pages goes."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    menu, story, shared = say("menu", 12), say("story", 30), say("shared", 15)
+    page = lambda *parts: "".join(f"<div>{p}</div>" for p in parts)
+    rows = [(1, "https://c.example/a", page(story)), (1, "https://c.example/a", page(story)), (2, "https://c.example/b", page(story))]
+    rows += [(3, None, page(story)), (4, None, page(story, "and more")), (5, "no host", page(story))]
+    rows += [(10 + i, f"https://h.example/{i}", page(menu, say(f"own{i}x", 10), *[shared] * (i < 2))) for i in range(12)]
+    got = Counter((r.page_id, r.text) for r in pages_.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+    expected = [(1, story), (1, story), (2, story), (3, story), (4, f"{story}\nand more"), (5, story)]
+    expected += [(10 + i, "\n".join([say(f"own{i}x", 10), *[shared] * (i < 2)])) for i in range(12)]
+    assert got == Counter(expected)
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     labels = {r.doc_id: (r.quality, r.toxic) for r in common.table(spark, sf_dir, "labels").collect()}
