@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from quire.llm import common, words
 
-#: Words, contexts and pairs that make up at least one in so many training tokens are known to every task; there
-#: cannot be more of them than this.  All others are looked up in tables that are dealt out by hash.
+#: Predictions of words that make up at least one in so many training tokens are sent to every task, so that their
+#: pairs can be dealt out evenly; there cannot be more of them than this.  The model doesn't depend on it.
 SHARE = 1 << 18
-#: Discounts and strengths of the context restaurants, their common parent, and the restaurant of rare words.
+#: Discount and strength of the context restaurants and of their common parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 #: Gibbs sweeps before samples are taken, and samples whose predictions are averaged.
 BURN_IN, SAMPLES = 2, 3
 #: Bytes of text and tokens that a task handles together.
 TEXT, TOKENS = 8_000_000, 1_000_000
-END, RARE, FIRST = 0, 1, 2
+#: Characters of training text for each part of the tables that are dealt out by hash.
+PART = 12_000_000
 _U = np.uint64
+#: The word after each text, and the context of its first word.
+END = _U(0)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -54,79 +57,98 @@ def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.hashes for w in found]), np.concatenate([w.text for w in found])
 
 
-@dataclass
-class Lexicon:
-    """Frequent words by hash, with counts, and what the base score needs."""
+def stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, word before it, row) of each token: the hashes of the words of every text and its end."""
+    hashes, row = hashed(batch)
+    ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
+    word = np.insert(hashes, ends, END)
+    return word, np.concatenate(([END], word[:-1])), np.insert(row, ends, np.arange(batch.num_rows))
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    texts: int
-    tokens: int
-    types: int
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), RARE, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + FIRST, RARE)
+def place(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (words.mix(keys) % _U(parts)).astype(np.int64)
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + FIRST
 
-    def class_counts(self) -> np.ndarray:
-        return np.concatenate([[self.texts, 0], self.counts])
+def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash for a context and the word after it."""
+    return words.mix(u * _U(0x9E3779B97F4A7C15) + words.mix(w))
 
 
-def stream(batch: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, class before it, hash, row) of each token: the words of every text and its end."""
-    hashes, row = hashed(batch)
-    ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
-    cls = np.insert(lexicon.classes(hashes), ends, END)
-    return cls, np.concatenate(([END], cls[:-1])), np.insert(hashes, ends, _U(0)), np.insert(row, ends, np.arange(batch.num_rows))
+def dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and where."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(bounds[1:] > bounds[:-1]):
+        yield int(p), order[bounds[p] : bounds[p + 1]]
+
+
+def batch_of(schema: str, *values) -> pa.RecordBatch:  # noqa: ANN002
+    """A batch of one row."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, names, strict=True)], [n for n, _ in names])
+
+
+def table_of(schema: str, batches: Iterator[pa.RecordBatch] | list[pa.RecordBatch]) -> pa.Table:
+    batches = list(batches)
+    return pa.Table.from_batches(batches, None if batches else batch_of(schema, *[None] * len(schema.split(", "))).schema)
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.insert(x[1:] != x[:-1], 0, True)) if len(x) else np.zeros(0, np.int64)
+
+
+def joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
+    return np.concatenate([unpack(r[column], kind) for r in rows]) if rows else np.zeros(0, kind)
+
+
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+PAIRED = "part int, u binary, runs binary, w binary, counts binary"
+
 
+def _sum(u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> Pairs:
+    order = np.lexsort((w, u))
+    u, w, counts = u[order], w[order], counts[order]
+    first = np.flatnonzero(np.insert((u[1:] != u[:-1]) | (w[1:] != w[:-1]), 0, True)) if len(u) else np.zeros(0, np.int64)
+    return u[first], w[first], np.add.reduceat(counts, first) if len(first) else counts
 
-COUNTS = "part int, keys binary, counts binary"
 
+def _pack_pairs(part: int, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    first = heads(u)
+    return batch_of(PAIRED, part, pack(u[first]), pack(np.diff(np.append(first, len(u))).astype("<u4")), pack(w), pack(counts))
 
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True)) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def _unpack_pairs(row: dict) -> Pairs:
+    return np.repeat(unpack(row["u"], "<u8"), unpack(row["runs"], "<u4")), unpack(row["w"], "<u8"), unpack(row["counts"], "<i8")
 
-def counted(docs: DataFrame, keys_of, parts: int, part_of) -> DataFrame:  # noqa: ANN001
-    """Counts of keys: a row for each part, its keys in ascending order.  Tasks add up before they send."""
 
-    def send(held: list, parts: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = _sum(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        part = part_of(keys, parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        some = np.flatnonzero(bounds[1:] > bounds[:-1])
-        blocks = [order[bounds[p] : bounds[p + 1]] for p in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(keys[b]) for b in blocks], pa.binary()), pa.array([pack(counts[b]) for b in blocks], pa.binary())], ["part", "keys", "counts"])
+def counted(learn: DataFrame, parts: int) -> DataFrame:
+    """Counts of (context, word): a row for each part of the contexts, in ascending order.  Tasks add up before they
+    send."""
+
+    def send(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        for p, at in dealt(place(pairs[0], parts), parts):
+            yield _pack_pairs(p, *(x[at] for x in pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Pairs] = []
         for batch in batches:
             for piece in slices(batch):
-                keys = keys_of(piece)
-                held.append(_sum(keys, np.ones(len(keys), np.int64)))
-                if sum(len(k) for k, _ in held) > 2 * TOKENS:
-                    held = [_sum(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                word, before, _ = stream(piece)
+                held.append(_sum(before, word, np.ones(len(word), np.int64)))
+                if sum(len(x[0]) for x in held) > 2 * TOKENS:
+                    held = [_sum(*(np.concatenate(x) for x in zip(*held)))]
                     if len(held[0][0]) > 2 * TOKENS:
-                        yield from send(held, parts)
-                        held = []
+                        yield from send(held.pop())
         if held:
-            yield from send(held, parts)
+            yield from send(_sum(*(np.concatenate(x) for x in zip(*held))))
 
     def merge(rows: pa.Table) -> pa.Table:
-        keys, counts = _sum(np.concatenate([unpack(k, "<u8") for k in rows["keys"].to_pylist()]), np.concatenate([unpack(c, "<i8") for c in rows["counts"].to_pylist()]))
-        return pa.table({"part": rows["part"][:1], "keys": pa.array([pack(keys)], pa.binary()), "counts": pa.array([pack(counts)], pa.binary())})
+        found = [_unpack_pairs(r) for r in rows.to_pylist()]
+        return table_of(PAIRED, [_pack_pairs(rows["part"][0].as_py(), *_sum(*(np.concatenate(x) for x in zip(*found))))])
 
-    return docs.select("text").mapInArrow(run, COUNTS).groupBy("part").applyInArrow(merge, COUNTS)
+    return learn.select("text").mapInArrow(run, PAIRED).groupBy("part").applyInArrow(merge, PAIRED)
 
 
 def seat(counts: np.ndarray, base: np.ndarray, total: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
@@ -148,354 +170,317 @@ def seat(counts: np.ndarray, base: np.ndarray, total: np.ndarray, discount: floa
     return tables
 
 
-STATE = "part int, keys binary, counts binary, tables binary, summed binary"
-
-
-def _rows(names: list[str], **cols) -> pa.RecordBatch:  # noqa: ANN003
-    return pa.RecordBatch.from_arrays([cols[n] if isinstance(cols[n], (pa.Array, pa.ChunkedArray)) else pa.array([cols[n]], pa.int32() if isinstance(cols[n], int) else pa.binary()) for n in names], names)
+DISHES = "part int, w binary, n binary, singles binary"
 
 
-def sweep(state: DataFrame, base: np.ndarray, number: int, keep: bool) -> DataFrame:
-    """One Gibbs sweep over all context restaurants, each whole in its row, given their parent's predictions."""
-    sent = state.sparkSession.sparkContext.broadcast(base)
+def dishes_of(pairs: DataFrame, parts: int) -> DataFrame:
+    """Each word with its count and the number of contexts that it follows once, by its own hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts, tables, summed = (unpack(row[c], k) for c, k in (("keys", "<u8"), ("counts", "<i8"), ("tables", "<i8"), ("summed", "<i8")))
-                total = np.bincount((keys >> _U(20)).astype(np.int64), tables, len(sent.value))
-                rng = np.random.default_rng([number, row["part"]])
-                u, w = (keys >> _U(20)).astype(np.int64), (keys & _U((1 << 20) - 1)).astype(np.int64)
-                tables = seat(counts, sent.value[w], total[u], DISCOUNT, STRENGTH, rng)
-                yield _rows(["part", "keys", "counts", "tables", "summed"], part=row["part"], keys=row["keys"], counts=row["counts"], tables=pack(tables), summed=pack(summed + tables) if keep else row["summed"])
+                _, w, counts = _unpack_pairs(row)
+                names, at = np.unique(w, return_inverse=True)
+                n, singles = (np.bincount(at, x, len(names)).astype(np.int64) for x in (counts, counts == 1))
+                for p, b in dealt(place(names, parts), parts):
+                    yield batch_of(DISHES, p, pack(names[b]), pack(n[b]), pack(singles[b]))
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        w, at = np.unique(joined(rows, "w", "<u8"), return_inverse=True)
+        n, singles = (np.bincount(at, joined(rows, c, "<i8"), len(w)).astype(np.int64) for c in ("n", "singles"))
+        return table_of(DISHES, [batch_of(DISHES, rows[0]["part"], pack(w), pack(n), pack(singles))])
+
+    return pairs.mapInArrow(send, DISHES).groupBy("part").applyInArrow(merge, DISHES)
 
-    return state.mapInArrow(run, STATE)
 
+#: Of the pairs that occur more than once: the place of the context in its part, word, count, tables, and tables summed
+#: over samples; and for each context the number of its other pairs, which have one table each at any time.
+STATE = "part int, owner binary, singles binary, w binary, counts binary, tables binary, summed binary"
 
-def _by_class(state: DataFrame) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
-    """Tables of each dish in all restaurants, and (customers, tables) of each restaurant: one entry a class at most."""
+
+def seated(pairs: DataFrame) -> DataFrame:
+    """One table for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts, tables = (unpack(row[c], k) for c, k in (("keys", "<u8"), ("counts", "<i8"), ("tables", "<i8")))
-                for kind, cls in ((0, keys & _U((1 << 20) - 1)), (1, keys >> _U(20))):
-                    cls = cls.astype(np.int64)
-                    c, t = np.bincount(cls, counts), np.bincount(cls, tables)
-                    at = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(c[at].astype(np.int64)), pa.array(t[at].astype(np.int64))], ["kind", "cls", "c", "t"])
+                u, w, counts = _unpack_pairs(row)
+                owner, many = np.cumsum(np.insert(u[1:] != u[:-1], 0, False)), counts > 1
+                singles = np.bincount(owner, ~many).astype("<u4")
+                n = int(many.sum())
+                yield batch_of(STATE, row["part"], pack(owner[many].astype("<u4")), pack(singles), pack(w[many]), pack(counts[many]), pack(np.ones(n, np.int64)), pack(np.zeros(n, np.int64)))
 
-    sums = state.mapInArrow(run, "kind int, cls bigint, c bigint, t bigint").groupBy("kind", "cls").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow()
-    dishes, rooms = {}, {}
-    for kind, cls, c, t in zip(*(sums[x].to_pylist() for x in ("kind", "cls", "c", "t"))):
-        (dishes if kind == 0 else rooms)[cls] = t if kind == 0 else (c, t)
-    return dishes, rooms
+    return pairs.mapInArrow(run, STATE)
 
 
 @dataclass
-class Parents:
-    """For each sample: the weight that each context leaves to its parent, and the parent's prediction of each class."""
-
-    left: np.ndarray
-    parent: np.ndarray
-
-    def below(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return sum(self.left[s][u] * self.parent[s][w] for s in range(len(self.left))) / len(self.left)
-
-
-def _root(dishes: dict[int, int], size: int, seed: int) -> np.ndarray:
-    """The parent's prediction of each class: its customers are the children's tables."""
-    counts = np.zeros(size, np.int64)
-    for cls, t in dishes.items():
-        counts[cls] = t
-    at = np.flatnonzero(counts)
-    tables = np.zeros(size, np.int64)
-    total = len(at)
-    for turn in range(2):
-        tables[at] = seat(counts[at], np.full(len(at), 1 / size), np.full(len(at), float(total)), DISCOUNT, STRENGTH, np.random.default_rng([seed, turn]))
-        total = int(tables.sum())
-    return (counts - DISCOUNT * tables + (STRENGTH + DISCOUNT * total) / size) / (STRENGTH + counts.sum())
+class Base:
+    """What the parent draws words from: a never seen word takes the share that words seen once suggest, the seen ones
+    share the rest alike."""
 
+    types: int
+    tokens: int
+    unseen: float
 
-def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (``doc_id``,
-    ``text``), by a model of the texts of ``learn``.
+    @property
+    def seen(self) -> float:
+        return (1 - self.unseen) / max(1, self.types)
 
-    Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and an end after each text.  Words that make up
-    less than 1 / SHARE of the training tokens, and those seen once, are of the class of rare words.  A restaurant for
-    each preceding class seats the classes that follow; all share one parent.  Rare words are drawn from a restaurant
-    of their own, where a word never seen counts as one further type.  Seatings are sampled by Gibbs, sweep by sweep;
-    the predictions of SAMPLES sweeps are averaged.
 
-    Null and empty texts are an end alone.  Repeated rows are scored as they stand.  Without training texts every
-    token has the probability of an unknown one.  An empty table gives no rows."""
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "lm")
-    text = lambda df: df.select(F.col("text").cast("string").alias("text"))
-    learn = text(learn)
-    parts = max(4, docs.rdd.getNumPartitions())
-    by_hash = lambda keys, n: (words.mix(keys) % _U(n)).astype(np.int64)
-    by_context = lambda keys, n: (words.mix(keys >> _U(20)) % _U(n)).astype(np.int64)
-    vocabulary = scratch.keep(counted(learn, lambda b: hashed(b)[0], parts, by_hash), "words", "none")
-    texts = learn.count()
+@dataclass
+class Totals:
+    """Customers and tables of the parent."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column("counts").to_pylist():
-                counts = unpack(c, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([len(counts)]), pa.array([int(counts.sum())])], ["types", "tokens"])
+    customers: float
+    tables: float
 
-    types, tokens = vocabulary.mapInArrow(sums, "types bigint, tokens bigint").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    types, tokens = types + (texts > 0), tokens + texts
-    least = max(2, -(-tokens // SHARE))
+    def prediction(self, own: np.ndarray | float, base: float) -> np.ndarray | float:
+        """Of a word whose customers less discounts are ``own``."""
+        return (own + base * (STRENGTH + DISCOUNT * self.tables)) / (STRENGTH + self.customers)
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, counts = unpack(k, "<u8"), unpack(c, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].astype(np.int64)), pa.array(counts[counts >= least])], ["key", "n"])
 
-    known = vocabulary.mapInArrow(frequent, "key bigint, n bigint").toArrow()
-    order = np.argsort(known["key"].to_numpy().astype(_U))
-    lexicon = Lexicon(known["key"].to_numpy().astype(_U)[order], known["n"].to_numpy()[order].astype(np.int64), texts, tokens, types)
-    lex = spark.sparkContext.broadcast(lexicon)
+#: ``src`` is the part of the words that a row is from, or -1 for all words of the row's own part.
+PARENT = "part int, src int, number int, x binary, c bigint, t bigint"
 
-    def pair_keys(batch: pa.RecordBatch) -> np.ndarray:
-        cls, before, _, _ = stream(batch, lex.value)
-        return before.astype(_U) << _U(20) | cls.astype(_U)
 
-    pairs = counted(learn, pair_keys, parts, by_context)
+def parent_of(state: DataFrame, dishes: DataFrame, base: Base, parts: int, number: int, tables: float) -> DataFrame:
+    """The parent's customers, which are the tables of all contexts, are seated anew.  Each part of the contexts is
+    told, for its words in order of their parts, how many customers less discounts they have."""
+    asked = "part int, src int, w binary, t binary"
 
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = len(unpack(row["counts"], "<i8"))
-                yield _rows(["part", "keys", "counts", "tables", "summed"], part=row["part"], keys=row["keys"], counts=row["counts"], tables=pack(np.ones(n, np.int64)), summed=pack(np.zeros(n, np.int64)))
-
-    state = scratch.keep(pairs.mapInArrow(seated, STATE), "state-0", "none")
-    dishes, rooms = _by_class(state)
-    parent = _root(dishes, lexicon.size, 0)
-    left, parent_of = [], []
-    for number in range(1, BURN_IN + SAMPLES + 1):
-        state = scratch.keep(sweep(state, parent, number, number > BURN_IN), f"state-{number}", "none")
-        scratch.drop(f"state-{number - 1}")
-        dishes, rooms = _by_class(state)
-        parent = _root(dishes, lexicon.size, number)
-        if number > BURN_IN:
-            share = np.ones(lexicon.size)
-            for u, (c, t) in rooms.items():
-                share[u] = (STRENGTH + DISCOUNT * t) / (STRENGTH + c)
-            left.append(share)
-            parent_of.append(parent)
-    customers = np.zeros(lexicon.size)
-    for u, (c, _) in rooms.items():
-        customers[u] = c
-    rare = _rare(vocabulary, least, scratch)
-    model = _Model(lexicon, Parents(np.array(left), np.array(parent_of)), customers, rare.total, rare.types, rare.unknown)
-    return _scored(spark, docs, scratch, state, rare.table, model, parts)
+                names, at = np.unique(unpack(row["w"], "<u8"), return_inverse=True)
+                t = np.bincount(at, unpack(row["tables"], "<i8"), len(names)).astype(np.int64)
+                for p, b in dealt(place(names, parts), parts):
+                    yield batch_of(asked, p, row["part"], pack(names[b]), pack(t[b]))
+
+    def answer(rows: pa.Table, own: pa.Table) -> pa.Table:
+        own, rows = own.to_pylist()[0], rows.to_pylist()
+        w, c = unpack(own["w"], "<u8"), unpack(own["singles"], "<i8").copy()
+        places = [np.searchsorted(w, unpack(r["w"], "<u8")) for r in rows]
+        for r, at in zip(rows, places):
+            c[at] += unpack(r["t"], "<i8")
+        t = seat(c, np.full(len(c), base.seen), np.full(len(c), tables), DISCOUNT, STRENGTH, np.random.default_rng([99, number, own["part"]]))
+        x = c - DISCOUNT * t
+        out = [batch_of(PARENT, own["part"], -1, number, pack(x), int(c.sum()), int(t.sum()))]
+        return table_of(PARENT, out + [batch_of(PARENT, r["src"], own["part"], number, pack(x[at]), 0, 0) for r, at in zip(rows, places)])
+
+    return state.mapInArrow(ask, asked).groupBy("part").cogroup(dishes.groupBy("part")).applyInArrow(answer, PARENT)
+
+
+def sweep(state: DataFrame, parent: DataFrame, base: Base, totals: Totals, parts: int, number: int, keep: bool) -> DataFrame:
+    """One Gibbs sweep over all context restaurants, given their parent's predictions."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out, told = [], told.to_pylist()
+        for row in rows.to_pylist():
+            counts, tables, summed = (unpack(row[c], "<i8") for c in ("counts", "tables", "summed"))
+            owner, singles = unpack(row["owner"], "<u4").astype(np.int64), unpack(row["singles"], "<u4")
+            names, at = np.unique(unpack(row["w"], "<u8"), return_inverse=True)
+            where, own = dict(dealt(place(names, parts), parts)), np.zeros(len(names))
+            for r in told:
+                own[where[r["src"]]] = unpack(r["x"], "<f8")
+            total = singles + np.bincount(owner, tables, len(singles))
+            tables = seat(counts, totals.prediction(own, base.seen)[at], total[owner], DISCOUNT, STRENGTH, np.random.default_rng([number, row["part"]]))
+            out.append(batch_of(STATE, row["part"], row["owner"], row["singles"], row["w"], row["counts"], pack(tables), pack(summed + tables) if keep else row["summed"]))
+        return table_of(STATE, out)
+
+    return state.groupBy("part").cogroup(parent.filter("src >= 0").groupBy("part")).applyInArrow(run, STATE)
 
 
-@dataclass
-class _Rare:
-    table: DataFrame
-    total: int
-    types: int
-    unknown: float
-
-
-RARES = "part int, keys binary, counts binary, chance binary"
+def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (``doc_id``,
+    ``text``), by a model of the texts of ``learn``.
 
+    Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and an end after each text.  A restaurant for
+    each preceding word seats the words that follow; all share one parent.  Every word of the training texts is a
+    context and can be predicted in each, however rare it is.  A word never seen counts as one further type, drawn from
+    the parent's base; after it the parent predicts.  Seatings are sampled by Gibbs, sweep by sweep; predictions are
+    averaged over SAMPLES sweeps, those of a context and those of the parent each.  Restaurants lie in parts by the
+    hash of their context, the parent's customers by the hash of their word; no task or driver holds all words.
 
-def _rare(vocabulary: DataFrame, least: int, scratch: common.Scratch) -> _Rare:
-    """The restaurant of rare words.  Its base gives a never seen word the share that words seen once suggest, and the
-    rest to the seen ones alike."""
+    Null and empty texts are an end alone.  Repeated rows are scored as they stand.  Without training texts every
+    token has the probability of an unknown one.  An empty table gives no rows."""
+    scratch = common.Scratch(docs.sparkSession, "lm")
+    learn = learn.select(F.col("text").cast("string").alias("text"))
+    parts = max(4, docs.rdd.getNumPartitions(), -(-(learn.agg(F.sum(F.length("text"))).first()[0] or 0) // PART))
+    pairs = scratch.keep(counted(learn, parts), "pairs-0", "none")
+    dishes = scratch.keep(dishes_of(pairs, parts), "dishes", "none")
 
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column("counts").to_pylist():
-                counts = unpack(c, "<i8")
-                counts = counts[counts < least]
-                yield pa.RecordBatch.from_arrays([pa.array([len(counts)]), pa.array([int(counts.sum())]), pa.array([int((counts == 1).sum())])], ["types", "total", "once"])
-
-    sums = vocabulary.mapInArrow(facts, "types bigint, total bigint, once bigint").agg(F.sum("types"), F.sum("total"), F.sum("once")).first()
-    types, total, once = (int(x or 0) for x in sums)
-    tables = float(types)
-    unseen = min(0.9, max(1 / (types + 1), once / (DISCOUNT * tables))) if types else 1.0
-    chance_of = lambda t: (STRENGTH + DISCOUNT * t) / (STRENGTH + total)
-
-    def tables_of(number: int, tables: float):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    counts = unpack(row["counts"], "<i8")
-                    t = _rare_seats(counts[counts < least], number, row["part"], tables, unseen, types)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(t.sum())])], ["t"])
-
-        return run
-
-    totals = [tables]
-    for number in range(1, BURN_IN + SAMPLES):
-        totals.append(float(vocabulary.mapInArrow(tables_of(number, totals[-1]), "t bigint").agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]))
-
-    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = unpack(row["keys"], "<u8"), unpack(row["counts"], "<i8")
-                keys, counts = keys[counts < least], counts[counts < least]
-                chance = np.zeros(len(keys))
-                for number in range(BURN_IN, BURN_IN + SAMPLES):
-                    t = _rare_seats(counts, number, row["part"], totals[number - 1], unseen, types)
-                    chance += ((counts - DISCOUNT * t) / (STRENGTH + total) + chance_of(totals[number]) * (1 - unseen) / max(1, types)) / SAMPLES
-                yield _rows(["part", "keys", "counts", "chance"], part=row["part"], keys=pack(keys), counts=pack(counts), chance=pack(chance))
-
-    table = scratch.keep(vocabulary.mapInArrow(chances, RARES), "rare", "none")
-    unknown = sum(chance_of(t) for t in totals[BURN_IN:]) / SAMPLES * unseen
-    return _Rare(table, total, types, unknown)
-
-
-def _rare_seats(counts: np.ndarray, number: int, part: int, tables: float, unseen: float, types: int) -> np.ndarray:
-    base = np.full(len(counts), (1 - unseen) / max(1, types))
-    return seat(counts, base, np.full(len(counts), tables), DISCOUNT, STRENGTH, np.random.default_rng([99, number, part]))
+            for n in batch.column("n").to_pylist():
+                n = unpack(n, "<i8")
+                yield batch_of("types bigint, tokens bigint, once bigint", len(n), int(n.sum()), int((n == 1).sum()))
+
+    facts = dishes.mapInArrow(sums, "types bigint, tokens bigint, once bigint").agg(F.sum("types"), F.sum("tokens"), F.sum("once")).first()
+    types, tokens, once = (int(x or 0) for x in facts)
+    base = Base(types, tokens, min(0.9, max(1 / (types + 1), once / (DISCOUNT * types))) if types else 1.0)
+    state = scratch.keep(seated(pairs), "state-0", "none")
+    tables, samples, totals_of = float(types), None, {}
+    for number in range(BURN_IN + SAMPLES + 1):
+        parent = scratch.keep(parent_of(state, dishes, base, parts, number, tables), f"parent-{number}", "none")
+        c, t = parent.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        totals_of[number], tables = Totals(float(c), float(t)), float(t)
+        if number > BURN_IN:
+            own = parent.filter("src < 0")
+            samples = own if samples is None else samples.union(own)
+        if number < BURN_IN + SAMPLES:
+            state = scratch.keep(sweep(state, parent, base, totals_of[number], parts, number + 1, number >= BURN_IN), f"state-{number + 1}", "none")
+            scratch.drop(f"state-{number}")
+    totals_of = {n: x for n, x in totals_of.items() if n > BURN_IN}
+    unknown = sum(x.prediction(0.0, base.unseen) for x in totals_of.values()) / SAMPLES
+    return _scored(docs, scratch, pairs, state, dishes, samples, base, totals_of, unknown, parts)
 
 
-@dataclass
-class _Model:
-    lexicon: Lexicon
-    parents: Parents
-    customers: np.ndarray
-    rare_total: int
-    rare_types: int
-    unknown: float
+ASKED = "part int, chunk bigint, kind int, a binary, b binary, c binary, d binary"
+#: Of words: hash, count, logarithm of the parent's prediction.  Of contexts: hash, nothing, logarithm of the weight left
+#: to the parent.  Of pairs: hash, the word's hash or nothing, and the context's own prediction against what it leaves to
+#: the parent, or, with nothing, against the parent's part too.
+MODEL = "part int, kind int, keys binary, more binary, value binary"
+DOCS, PAIRS, WORDS, CONTEXTS = 0, 1, 2, 3
 
 
-ASKED = "part int, chunk bigint, kind int, a binary, b binary, c binary, d binary"
-MODEL = "part int, kind int, keys binary, counts binary, chance binary"
-DOCS, PAIRS, WORDS = 0, 1, 2
+def _known(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the keys, whether it is one)."""
+    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
 
 
-def _scored(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, state: DataFrame, rare: DataFrame, model: _Model, parts: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast(model)
-    hot_least = max(2, -(-model.lexicon.tokens // SHARE))
+def _scored(docs: DataFrame, scratch: common.Scratch, pairs: DataFrame, state: DataFrame, dishes: DataFrame, samples: DataFrame, base: Base, totals_of: dict[int, Totals], unknown: float, parts: int) -> DataFrame:
+    """A text's score is a sum of what its words have by themselves (the parent's prediction of the word, and the
+    weight that it leaves to the parent as a context) and of what each pair that was seen adds to that."""
+    spark = docs.sparkSession
+    every = math.log10(base.tokens + base.types + 1)
+    least = max(2, -(-base.tokens // SHARE))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts, summed = unpack(row["keys"], "<u8"), unpack(row["counts"], "<i8"), unpack(row["summed"], "<i8")
-                direct = (counts - DISCOUNT * summed / SAMPLES) / (STRENGTH + sent.value.customers[(keys >> _U(20)).astype(np.int64)])
-                part = (words.mix(keys) % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(bounds[1:] > bounds[:-1]):
-                    b = order[bounds[p] : bounds[p + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([PAIRS], pa.int32()), pa.array([pack(keys[b])], pa.binary()), pa.array([pack(counts[b])], pa.binary()), pa.array([pack(direct[b])], pa.binary())], ["part", "kind", "keys", "counts", "chance"])
+    def predicted(own: pa.Table, rows: pa.Table) -> pa.Table:
+        own = own.to_pylist()[0]
+        p = sum(totals_of[r["number"]].prediction(unpack(r["x"], "<f8"), base.seen) for r in sorted(rows.to_pylist(), key=lambda r: r["number"])) / SAMPLES
+        return table_of(MODEL, [batch_of(MODEL, own["part"], WORDS, own["w"], own["n"], pack(np.log10(p)))])
 
-    chances = scratch.keep(state.mapInArrow(dealt, MODEL), "pairs", "none")
+    words_ = scratch.keep(dishes.groupBy("part").cogroup(samples.groupBy("part")).applyInArrow(predicted, MODEL), "words", "none")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts, direct = unpack(row["keys"], "<u8"), unpack(row["counts"], "<i8"), unpack(row["chance"], "<f8")
-                hot = counts >= hot_least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[hot].astype(np.int64)), pa.array(direct[hot])], ["key", "p"])
-
-    hot = chances.mapInArrow(frequent, "key bigint, p double").toArrow()
-    order = np.argsort(hot["key"].to_numpy())
-    hot_sent = spark.sparkContext.broadcast((hot["key"].to_numpy()[order].astype(_U), hot["p"].to_numpy()[order]))
+                hot = unpack(row["more"], "<i8") >= least
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["keys"], "<u8")[hot].astype(np.int64)), pa.array(unpack(row["value"], "<f8")[hot])], ["key", "p"])
+
+    hot = words_.mapInArrow(frequent, "key bigint, p double").toArrow()
+    hot_keys = hot["key"].to_numpy().astype(_U)
+    order = np.argsort(hot_keys)
+    hot_sent = spark.sparkContext.broadcast((hot_keys[order], hot["p"].to_numpy()[order]))
+
+    def home(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, part, place among frequent words, whether it is one) of pairs: those of a frequent word are dealt out
+        by the pair, others lie where the word's prediction is."""
+        key = pair(u, w)
+        at, is_hot = _known(hot_sent.value[0], w)
+        return key, place(np.where(is_hot, key, w), parts), at, is_hot
+
+    def deal(rows: pa.Table, seats: pa.Table) -> pa.Table:
+        out = []
+        for row, last in zip(rows.to_pylist(), seats.to_pylist(), strict=True):
+            u, w, counts = _unpack_pairs(row)
+            first, owner = heads(u), np.cumsum(np.insert(u[1:] != u[:-1], 0, False))
+            tables = np.ones(len(u))
+            tables[counts > 1] = unpack(last["summed"], "<i8") / SAMPLES
+            customers, total = np.add.reduceat(counts, first), np.add.reduceat(tables, first)
+            left = (STRENGTH + DISCOUNT * total) / (STRENGTH + customers)
+            out.append(batch_of(MODEL, row["part"], CONTEXTS, pack(u[first]), b"", pack(np.log10(left))))
+            own = ((counts - DISCOUNT * tables) / ((STRENGTH + customers) * left)[owner]).astype("<f4")
+            key, part, at, is_hot = home(u, w)
+            if is_hot.any():
+                own[is_hot] /= 10 ** hot_sent.value[1][at[is_hot]]
+            for warm in (True, False):
+                some = np.flatnonzero(is_hot == warm)
+                for p, b in dealt(part[some], parts):
+                    b = some[b]
+                    out.append(batch_of(MODEL, p, PAIRS, pack(key[b]), b"" if warm else pack(w[b]), pack(own[b])))
+        return table_of(MODEL, out)
+
+    chances = pairs.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(deal, MODEL)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (hot_keys, hot_p) = sent.value, hot_sent.value
-        lexicon, chunk = m.lexicon, TaskContext.get().partitionId() << 24
-        every = math.log10(lexicon.tokens + lexicon.types + 1)
-        log_count = np.log10(lexicon.class_counts() + 1.0)
-        seen = lexicon.class_counts() > 0
+        chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
             for piece in slices(batch):
-                cls, before, hashes, row = stream(piece, lexicon)
+                word, before, row = stream(piece)
                 n = piece.num_rows
-                plain = cls != RARE
-                base = np.bincount(row, np.where(plain, log_count[cls] - every, 0.0), n)
-                known = np.bincount(row, seen[cls] & plain, n)
-                keys = before.astype(_U) << _U(20) | cls.astype(_U)
-                at = np.minimum(np.searchsorted(hot_keys, keys), max(0, len(hot_keys) - 1))
-                found = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
-                p = hot_p[at[found]] + m.parents.below(before[found], cls[found]) if len(hot_keys) else np.zeros(0)
-                total = np.bincount(row[found], np.log10(p), n)
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
                 valid = np.array([x.is_valid for x in piece.column("doc_id")], bool)
                 ids = np.where(valid, ids, 0).astype(np.int64)
-                facts = np.stack([base, known, total, np.bincount(row, minlength=n)]).astype("<f8")
-                yield asked(chunk % parts, chunk, DOCS, pack(ids), pack(valid), pack(facts), b"")
-                for kind, take, key in ((PAIRS, ~found, keys), (WORDS, ~plain, hashes)):
-                    yield from dealt_out(chunk, kind, key[take], row[take])
+                yield batch_of(ASKED, chunk % parts, chunk, DOCS, pack(ids), pack(valid), pack(np.bincount(row, minlength=n)), b"")
+                key, part, _, _ = home(before, word)
+                yield from dealt_out(chunk, PAIRS, key, part, row)
+                yield from dealt_out(chunk, WORDS, word, place(word, parts), row)
                 chunk += 1
 
-    def asked(part: int, chunk: int, kind: int, a: bytes, b: bytes, c: bytes, d: bytes) -> pa.RecordBatch:
-        cols = [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c, d))]
-        return pa.RecordBatch.from_arrays(cols, ["part", "chunk", "kind", "a", "b", "c", "d"])
-
-    def dealt_out(chunk: int, kind: int, keys: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt_out(chunk: int, kind: int, keys: np.ndarray, part: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys, kind="stable")
-        keys, row = keys[order], row[order]
-        first = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True)) if len(keys) else np.zeros(0, np.int64)
+        keys, part, row = keys[order], part[order], row[order]
+        first = heads(keys)
         sizes = np.diff(np.append(first, len(keys)))
-        part = (words.mix(keys[first]) % _U(parts)).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
-        for p in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            b = by_part[bounds[p] : bounds[p + 1]]
+        for p, b in dealt(part[first], parts):
             reach = np.repeat(first[b] - (np.cumsum(sizes[b]) - sizes[b]), sizes[b]) + np.arange(sizes[b].sum())
             steps = np.diff(keys[first[b]], prepend=_U(0))
-            yield asked(int(p), chunk, kind, pack(steps), pack(sizes[b].astype("<u4")), pack(row[reach].astype("<u4")), b"")
+            yield batch_of(ASKED, p, chunk, kind, pack(steps), pack(sizes[b].astype("<u4")), pack(row[reach].astype("<u4")), b"")
 
     def answer(key: tuple, rows: pa.Table, table: pa.Table) -> pa.Table:
-        m, out = sent.value, []
-        every = math.log10(m.lexicon.tokens + m.lexicon.types + 1)
-        tables = {}
-        for kind in (PAIRS, WORDS):
-            some = [r for r in table.to_pylist() if r["kind"] == kind]
-            cat = lambda c, k: np.concatenate([unpack(r[c], k) for r in some]) if some else np.zeros(0, k)  # noqa: B023, E731
-            keys, counts, chance = cat("keys", "<u8"), cat("counts", "<i8"), cat("chance", "<f8")
-            order = np.argsort(keys)
-            tables[kind] = keys[order], counts[order], chance[order]
+        table, out = table.to_pylist(), []
+        of = lambda kind: [r for r in table if r["kind"] == kind]
+        names, counts, chance = (joined(of(WORDS), c, k) for c, k in (("keys", "<u8"), ("more", "<i8"), ("value", "<f8")))
+        contexts, left = joined(of(CONTEXTS), "keys", "<u8"), joined(of(CONTEXTS), "value", "<f8")
+        alone = chance.copy()
+        at, found = _known(contexts, names)
+        alone[found] += left[at[found]]
+        keys, own = [np.zeros(0, _U)], [np.zeros(0, "<f4")]
+        for r in of(PAIRS):
+            keys.append(unpack(r["keys"], "<u8"))
+            x = unpack(r["value"], "<f4")
+            own.append(x / 10 ** chance[np.searchsorted(names, unpack(r["more"], "<u8"))] if r["more"] else x)
+        keys, own = np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(keys)
+        keys, adds = keys[order], np.log10(1 + own[order].astype(np.float64))
         for r in rows.to_pylist():
             if r["kind"] == DOCS:
                 out.append(r)
                 continue
-            asked_keys, sizes, doc = np.cumsum(unpack(r["a"], "<u8"), dtype=_U), unpack(r["b"], "<u4").astype(np.int64), unpack(r["c"], "<u4").astype(np.int64)
-            keys, counts, chance = tables[r["kind"]]
-            at = np.minimum(np.searchsorted(keys, asked_keys), max(0, len(keys) - 1))
-            found = keys[at] == asked_keys if len(keys) else np.zeros(len(asked_keys), bool)
-            p, c = np.zeros(len(asked_keys)), np.zeros(len(asked_keys), np.int64)
-            p[found], c[found] = chance[at[found]], counts[at[found]]
+            asked, sizes, doc = np.cumsum(unpack(r["a"], "<u8"), dtype=_U), unpack(r["b"], "<u4").astype(np.int64), unpack(r["c"], "<u4").astype(np.int64)
+            docs_, local = np.unique(doc, return_inverse=True)
+            summed = lambda x: np.bincount(local, np.repeat(x, sizes), len(docs_))  # noqa: B023, E731
+            at, found = _known(keys if r["kind"] == PAIRS else names, asked)
+            total, facts = np.zeros(len(asked)), np.zeros((3, len(docs_)))
             if r["kind"] == PAIRS:
-                p = p + m.parents.below((asked_keys >> _U(20)).astype(np.int64), (asked_keys & _U((1 << 20) - 1)).astype(np.int64))
+                total[found] = adds[at[found]]
             else:
-                p[~found] = m.unknown
-            docs_, local = np.unique(doc, return_inverse=True)
-            total = np.bincount(local, np.repeat(np.log10(p), sizes), len(docs_))
-            facts = [np.zeros(len(docs_)), np.zeros(len(docs_)), total]
-            if r["kind"] == WORDS:
-                facts[0] = np.bincount(local, np.repeat(np.log10(c + 1.0) - every, sizes), len(docs_))
-                facts[1] = np.bincount(local, np.repeat(found, sizes), len(docs_))
-            out.append({"part": r["part"], "chunk": r["chunk"], "kind": r["kind"], "a": pack(docs_.astype("<u4")), "b": b"", "c": pack(np.stack(facts).astype("<f8")), "d": b""})
+                total[:] = math.log10(unknown)
+                total[found] = alone[at[found]]
+                n = np.zeros(len(asked))
+                n[found] = counts[at[found]]
+                facts[0], facts[1] = summed(np.log10(n + 1.0) - every), summed(found)
+            facts[2] = summed(total)
+            out.append({"part": r["part"], "chunk": r["chunk"], "kind": r["kind"], "a": pack(docs_.astype("<u4")), "b": b"", "c": pack(facts), "d": b""})
         return pa.Table.from_pylist(out, schema)
 
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcd")])
-    tables = chances.union(rare.select("part", F.lit(WORDS).alias("kind"), "keys", "counts", "chance"))
-    answers = docs.mapInArrow(ask, ASKED).groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(answer, ASKED)
+    answers = docs.mapInArrow(ask, ASKED).groupBy("part").cogroup(chances.union(words_).groupBy("part")).applyInArrow(answer, ASKED)
 
     def add(rows: pa.Table) -> pa.Table:
-        m = sent.value
         rows = rows.to_pylist()
         own = next(r for r in rows if r["kind"] == DOCS)
-        ids, valid = unpack(own["a"], "<i8"), unpack(own["b"], "?")
-        facts = unpack(own["c"], "<f8").reshape(4, -1).copy()
-        for r in sorted((r for r in rows if r["kind"] != DOCS), key=lambda r: (r["kind"], r["part"])):
-            facts[:3, unpack(r["a"], "<u4")] += unpack(r["c"], "<f8").reshape(3, -1)
+        ids, valid, tokens = unpack(own["a"], "<i8"), unpack(own["b"], "?"), unpack(own["c"], "<i8")
         n = len(ids)
+        facts = np.zeros((3, n))
+        for r in sorted((r for r in rows if r["kind"] != DOCS), key=lambda r: (r["kind"], r["part"])):
+            facts[:, unpack(r["a"], "<u4")] += unpack(r["c"], "<f8").reshape(3, -1)
         whole = lambda x: pa.array(np.round(x).astype(np.int64))
-        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": whole(facts[3]), "n_known": whole(facts[1]), "train_tokens": pa.array(np.full(n, m.lexicon.tokens, np.int64)), "base_score": pa.array(facts[0]), "score": pa.array(facts[2])})
+        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": whole(tokens), "n_known": whole(facts[1]), "train_tokens": pa.array(np.full(n, base.tokens, np.int64)), "base_score": pa.array(facts[0]), "score": pa.array(facts[2])})
 
     return answers.groupBy("chunk").applyInArrow(add, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

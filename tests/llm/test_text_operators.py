@@ -355,6 +355,20 @@ def test_model_is_a_distribution(spark):
     assert sum(10**r.score for r in first.values()) + 10 ** got[1].score < 1
 
 
+def test_rare_words_are_predicted_in_their_contexts(spark, monkeypatch):
+    """However few words are sent to all tasks, a pair of rare words is learned as such and the scores stay."""
+    rng = random.Random(4)
+    train = [(i, " ".join(rng.choice("abcdefgh") for _ in range(50)) + (" left right" if i < 12 else ""), "s") for i in range(100)]
+    probe = frame(spark, [(0, "left right", "s"), (1, "left a", "s"), (2, "right left", "s"), (3, "never right", "s")])
+    score = lambda: {r.doc_id: (r.n_known, r.score) for r in lm.score(probe, frame(spark, train)).collect()}
+    whole = score()
+    assert all(whole[0][1] > whole[i][1] + 0.5 for i in (1, 2, 3))
+    monkeypatch.setattr(lm, "SHARE", 64)  # words below 80 uses
+    few = score()
+    assert {i: x[0] for i, x in few.items()} == {i: x[0] for i, x in whole.items()}
+    assert all(few[i][1] == pytest.approx(whole[i][1], abs=1e-4) for i in whole)
+
+
 def test_seating_is_possible():
     counts = np.array([1, 2, 5, 100, 100_000])
     tables = lm.seat(counts, np.full(5, 0.2), np.full(5, 50.0), 0.75, 1.0, np.random.default_rng(0))
