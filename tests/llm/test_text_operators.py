@@ -149,6 +149,14 @@ def test_lines_of_odd_rows(spark, odd):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_a_million_blank_lines_keep_lines_apart(spark):
+    ends = "one two three four", "five six seven eight"
+    gap = "\n" * (1 << 20)
+    rows = [(1, ends[0], "a"), (2, ends[0] + gap + ends[1], "a"), (3, "x" + "\n" * 1_200_000 + ends[1], "a")]
+    found = {r.doc_id: (r.n_lines, list(r.removed)) for r in linededup.removed_lines(frame(spark, rows)).collect()}
+    assert found == {1: (1, []), 2: ((1 << 20) + 1, [0]), 3: (1_200_001, [1_200_000])}
+
+
 def test_words_are_told_apart():
     column = pa.array(["Ab cd\nAB", None, "", "x" * 70_000 + " ß\x0bß"])
     found = list(words.scan(column))
