@@ -124,8 +124,8 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         enc = tokens.encoder(path)
         kind = id_kind(max(enc.tokenizer.get_vocab_size(True), end + 1))
         for batch in batches:
-            texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
-            for first, ids, sizes in enc.encode(texts, end):
+            sources = batch.column("source").to_pylist()
+            for first, ids, sizes in enc.encode(batch.column("text"), end):
                 n = len(sizes)
                 before = []
                 for s, size in zip(sources[first : first + n], sizes.tolist()):

@@ -17,83 +17,101 @@ from quire.llm import common, tokens
 END = 2
 #: Ids of one grammar; a document is never divided, so a longer one has a grammar of its own.
 BLOCK_IDS = 1_000_000
-#: Passes over a block, rules that a pass may add, and uses that a rule needs.
-PASSES, RULES, LEAST = 4, 2048, 12
-_BITS = 18
-
-
-def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917)) >> np.uint32(32 - _BITS)
-
+#: Uses that a pair needs for a rule of its own: a rule takes 12 bytes of a file, each use saves 2 before compression.
+LEAST = 12
+
+
+def frequent(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(those of the places ``at`` whose pair of neighbours stands at LEAST of them without overlap, rank of each pair,
+    0 for the most frequent)."""
+    left, right = seq[at], seq[at + 1]
+    twin = np.flatnonzero(left == right)  # of a run of one symbol every other place counts
+    if len(twin):
+        row = np.flatnonzero(np.diff(at[twin], prepend=-2) != 1)
+        odd = (np.arange(len(twin)) - np.repeat(row, np.diff(np.append(row, len(twin))))) % 2 == 1
+        keep = np.ones(len(at), bool)
+        keep[twin[odd]] = False
+        at, left, right = at[keep], left[keep], right[keep]
+    if len(at) > SORTED:  # a table of hashes rules most rare pairs out before the rest are sorted
+        slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917)) >> np.uint32(12)
+        keep = (np.bincount(slot, minlength=1 << 20) >= LEAST)[slot]
+        at, left, right = at[keep], left[keep], right[keep]
+    pair = left.astype(np.uint64) << np.uint64(32) | right
+    order = np.argsort(pair)
+    pair = pair[order]
+    head = np.flatnonzero(np.insert(pair[1:] != pair[:-1], 0, True)) if len(pair) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(head, len(pair)))
+    rank = np.empty(len(head), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(head))
+    some = np.repeat(counts >= LEAST, counts)
+    at, rank = at[order[some]], np.repeat(rank, counts)[some]
+    order = np.argsort(at)
+    return at[order], rank[order]
 
-def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, place of each pair in the list or the list's length) of the most frequent pairs of neighbours.
 
-    Pairs are counted in a hashed table; each slot stands for the pair seen last in it, counted exactly."""
-    left, right = seq[:-1], seq[1:]
-    slot = _hash(left, right)
-    last = np.zeros(1 << _BITS, np.int32)
-    last[slot] = np.arange(len(slot), dtype=np.int32)
-    pair = left.astype(np.uint64) << np.uint64(32) | right
-    same = pair[last][slot] == pair
-    counts = np.bincount(slot[same], minlength=1 << _BITS)
-    best = np.flatnonzero(counts >= LEAST)
-    best = best[np.argsort(-counts[best], kind="stable")][:RULES]
-    place = np.full(1 << _BITS, len(best), np.int32)
-    place[best] = np.arange(len(best))
-    own = place[slot]
-    own[~same] = len(best)
-    return left[last[best]], right[last[best]], own
+#: Places from which on pairs are counted by hash first.
+SORTED = 100_000
 
 
 def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): rule i stands for a pair of symbols and is written as first_free + i."""
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(PASSES):
-        if len(seq) < 2:
+    """(rules, sequence): rule i stands for a pair of symbols and is written as first_free + i.  Goes on until no pair
+    stands at LEAST places.
+
+    Every pass replaces all frequent pairs at once; where two overlap, the more frequent one.  A pair can only become
+    frequent next to a new symbol, so a pass looks at those places and at what the last one left over."""
+    seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
+    n_rules, active = 0, np.arange(max(0, len(seq) - 1))
+    while len(active):
+        at, rank = frequent(seq, active)
+        if not len(at):
             break
-        left, right, place = frequent_pairs(seq)
-        if not len(left):
-            break
-        edge = np.concatenate(([len(left)], place, [len(left)]))
-        take = np.flatnonzero((place < len(left)) & (edge[2:] >= place) & (edge[:-2] >= place))  # of overlapping pairs the most frequent
-        row = np.flatnonzero(np.diff(take, prepend=-2) != 1)  # and every other one of a run of the same
-        take = take[(np.arange(len(take)) - np.repeat(row, np.diff(np.append(row, len(take))))) % 2 == 0]
-        used, which = np.unique(place[take], return_inverse=True)
-        seq[take] = (first_free + len(rules) + which).astype(np.uint32)
-        rules = np.concatenate([rules, np.stack([left[used], right[used]], 1)])
+        beside = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~beside | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] < rank[1:])
+        uses = np.bincount(rank[wins], minlength=int(rank.max()) + 1)
+        wins &= uses[rank] >= LEAST  # the most frequent pair of all keeps all its places
+        take = at[wins]
+        used, one = uses >= LEAST, np.zeros(len(uses), np.int64)
+        one[rank[wins]] = take
+        one = one[used]
+        rules.append(np.stack([seq[one], seq[one + 1]], 1))
+        seq[take] = (first_free + n_rules - 1 + np.cumsum(used)[rank[wins]]).astype(np.uint32)
+        n_rules += len(one)
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq = seq[keep]
-    return rules, seq
+        spared = at[~wins]
+        before = np.searchsorted(take, spared)
+        edge = np.concatenate((take, [-9]))
+        spared = (spared - before)[(edge[before - 1] + 1 != spared) & (edge[before] - 1 != spared)]
+        new = take - np.arange(len(take))
+        live = np.zeros(len(seq) + 1, bool)  # the last one for what stands before the first place
+        live[spared] = live[new] = live[new - 1] = True
+        active = np.flatnonzero(live[: len(seq) - 1])
+    return np.concatenate(rules), seq
 
 
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
-    lengths = np.zeros(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (1 if a < first_free else lengths[a - first_free]) + (1 if b < first_free else lengths[b - first_free])
-    return lengths
+    """Rules only name earlier ones; each round takes those whose parts are known."""
+    parts = np.where(rules < first_free, 0, rules.astype(np.int64) - first_free + 1)
+    lengths = np.concatenate(([1], np.zeros(len(rules), np.int64)))
+    while (open_ := np.flatnonzero(lengths == 0)).size:
+        both = lengths[parts[open_ - 1]]
+        lengths[open_] = np.where((both > 0).all(1), both.sum(1), 0)
+    return lengths[1:]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_free: int) -> np.ndarray:
-    """The ids that a run of symbols stands for."""
-    starts = np.cumsum(lengths) - lengths
-    flat = np.zeros(int(lengths.sum()), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = starts[i]
-        for x in (a, b):
-            n = 1 if x < first_free else int(lengths[x - first_free])
-            flat[at : at + n] = x if x < first_free else flat[starts[x - first_free] : starts[x - first_free] + n]
-            at += n
-    rule = seq >= first_free
-    which = seq[rule].astype(np.int64) - first_free
-    sizes = np.ones(len(seq), np.int64)
-    sizes[rule] = lengths[which]
-    ends = np.cumsum(sizes)
-    pool = np.concatenate([flat, seq[~rule]])
-    source = np.zeros(len(seq), np.int64)
-    source[rule], source[~rule] = starts[which], len(flat) + np.arange(len(seq) - len(which))
-    return pool[np.repeat(source - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    """The ids that a run of symbols stands for; each round replaces every rule by its pair."""
+    out = seq.astype(np.uint32)
+    while len(at := np.flatnonzero(out >= first_free)):
+        pair = rules[out[at] - np.uint32(first_free)]
+        wide = np.repeat(out, 1 + (out >= first_free))
+        to = at + np.arange(len(at))
+        wide[to], wide[to + 1] = pair[:, 0], pair[:, 1]
+        out = wide
+    return out
 
 
 def between(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_free: int, begin: int, end: int) -> np.ndarray:
@@ -139,7 +157,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
         n = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, ids, sizes in enc.encode(batch.column("text").to_pylist(), end):
+            for first, ids, sizes in enc.encode(batch.column("text"), end):
                 held[0].extend(doc_ids[first : first + len(sizes)])
                 held[1].extend(sizes.tolist())
                 held[2].append(ids)

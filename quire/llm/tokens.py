@@ -1,4 +1,4 @@
-"""Token ids of whole texts: each distinct word is encoded once and looked up afterwards."""
+"""Token ids of whole texts: each distinct word is encoded once and looked up by its hash afterwards."""
 
 from __future__ import annotations
 
@@ -9,20 +9,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Words that a worker remembers before it starts afresh, and characters that it handles at a time.
-WORDS, CHARS = 1_100_000, 1_000_000
+from quire.llm import words
+
+#: Words that a worker remembers before it starts afresh.
+WORDS = 1_100_000
 # Below U+0100 texts are in composed form already and lower case goes letter by letter, so the tokenizer's own pattern
-# can be applied here: contractions, letters, single digits, other marks.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-_SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+# can be applied here: contractions, letters, single digits, other marks; a line feed stands after each word.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+|\n")
 
 
-def words_of(text: str) -> list[str]:
-    """Parts between white space, which the tokenizer drops and never merges across."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-        return _SPACED.findall(text)
-    return text.split()
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def latin(word: str) -> bool:
@@ -39,19 +40,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def segments(text: str, most: int = CHARS) -> Iterator[str]:
-    """A very long text in parts that end before white space."""
-    at = 0
-    while len(text) - at > most:
-        cut = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
-        if cut <= at:
-            after = _SPACED.match(text, at + most)
-            cut = after.end() if after else at + most
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,87 +50,92 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def merged(self, part: str, fresh: dict[str, list[int]]) -> list[int]:
-        """The ids of a part that the pattern cut out: a known word's, those found just before, or new ones."""
-        at = self.index.get(part)
-        if at is not None:
-            return self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
-        letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
-        ids = fresh[part] = [t.id for t in self.merge(letters)]
-        return ids
-
-    def learn(self, words: list[str]) -> None:
-        found, later, fresh, merged = [], [], {}, self.merged
-        for n, w in enumerate(words):
-            low = w.lower()
-            if low.isascii() and low.isalpha():
-                found.append(fresh.get(low) or merged(low, fresh))
-            elif latin(w) and "<|" not in w:
-                cut = _LATIN.findall(low)
-                if len(cut) == 1:
-                    found.append(fresh.get(cut[0]) or merged(cut[0], fresh))
-                else:
-                    found.append([i for part in cut for i in fresh.get(part) or merged(part, fresh)])
-            else:
-                found.append([])
-                later.append(n)
-        if later:
-            for n, e in zip(later, self.tokenizer.encode_batch_fast([words[n] for n in later], add_special_tokens=False)):
-                found[n] = e.ids
+        self.parts: dict[str, int] = {}
+
+    def cut_up(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words below U+0100 with a line feed after each: the pattern runs over
+        all of them at once, and each distinct part is merged once."""
+        parts = _LATIN.findall(joined.lower())
+        known, merge, letters = self.parts, self.merge, self.letters
+        new = [part for part in set(parts) if part not in known]
+        found = [[t.id for t in merge(part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(letters))] if part != "\n" else [] for part in new]
+        self.add(found)
+        known.update(zip(new, range(len(self.sizes) - len(new), len(self.sizes))))
+        which = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)[which == known["\n"]] if parts else sizes
+        return self.flat[spread(self.starts[which], sizes)], np.diff(ends, prepend=0)
+
+    def add(self, found: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.put(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def put(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-
-    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, counts = [], []
-        for part in parts:
-            before = len(words)
-            words += words_of(part)
-            counts.append(len(words) - before)
-        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(unknown := np.flatnonzero(at < 0)):
-            new = {words[i] for i in unknown.tolist()}
-            if len(self.index) + len(new) > WORDS:  # start afresh with this part's words
-                self.clear()
-                new = set(words)
-                unknown = np.arange(len(words))
-            self.learn(list(new))
-            at[unknown] = np.fromiter((self.index[words[i]] for i in unknown.tolist()), np.int64, len(unknown))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(bounds)
-
-    def encode(self, texts: list[str | None], end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """New words, in ascending order of their hashes."""
+        rare = np.concatenate(([0], np.cumsum((data >= 128) | (data == 60))))
+        odd = rare[ends] > rare[starts]
+        texts = [data[a:b].tobytes().decode() for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
+        library = np.array([not latin(t) or "<|" in t for t in texts], bool)
+        plain = ~odd
+        plain[np.flatnonzero(odd)[~library]] = True
+        sizes = (ends - starts + 1)[plain]
+        joined = data[np.minimum(spread(starts[plain], sizes), len(data) - 1)]
+        joined[np.cumsum(sizes) - 1] = 10
+        self.put(*self.cut_up(joined.tobytes().decode()))
+        self.add([e.ids for e in self.tokenizer.encode_batch_fast([t for t, x in zip(texts, library) if x], add_special_tokens=False)] if library.any() else [])
+        at = np.empty(len(keys), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at[order] = np.arange(len(keys)) + len(self.sizes) - len(keys)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rank = np.insert(self.keys, place, keys), np.insert(self.rank, place, at)
+
+    def unknown(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+
+    def ids_of(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words of a chunk, number of ids of each word)."""
+        if not len(w.hashes):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        order = np.argsort(w.hashes)
+        key = w.hashes[order]
+        head = np.insert(key[1:] != key[:-1], 0, True)
+        key, first, which = key[head], order[head], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(head) - 1
+        new = self.unknown(key)
+        if len(self.keys) + int(new.sum()) > WORDS:
+            self.clear()
+            new[:] = True
+        if new.any():
+            self.learn(key[new], w.data, w.starts[first[new]], w.ends[first[new]])
+        at = self.rank[np.searchsorted(self.keys, key)][which]
+        return self.flat[spread(self.starts[at], self.sizes[at])], self.sizes[at]
+
+    def encode(self, texts: pa.Array | list[str | None], end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids of some texts in a row, ids of each text); every text ends with ``end``; null is empty."""
-        first, held, owner, chars = 0, [], [], 0
-        for i, text in enumerate(texts):
-            for part in segments(text or ""):
-                held.append(part)
-                owner.append(i)
-                chars += len(part)
-            if chars >= CHARS or i == len(texts) - 1:
-                yield first, *self._joined(held, np.array(owner) - first, i + 1 - first, end)
-                first, held, owner, chars = i + 1, [], [], 0
-
-    def _joined(self, parts: list[str], owner: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        pieces, sizes = [], []
-        at, chars = 0, 0
-        for j, part in enumerate(parts):
-            chars += len(part)
-            if chars >= 2 * CHARS or j == len(parts) - 1:
-                ids, counts = self._encode(parts[at : j + 1])
-                pieces.append(ids)
-                sizes.append(counts)
-                at, chars = j + 1, 0
-        ids, sizes = np.concatenate(pieces), np.bincount(owner, np.concatenate(sizes), n).astype(np.int64)
-        return np.insert(ids, np.cumsum(sizes), end), sizes + 1
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        held, sizes_held, next_ = [], 0, 0  # of a text that goes on in the next chunk
+        for w in words.scan(column):
+            ids, sizes = self.ids_of(w)
+            n = np.bincount(w.text - w.first_text, sizes, w.texts).astype(np.int64)
+            done = w.texts - 1 if w.unfinished else w.texts
+            cut = int(n[:done].sum())
+            if done:
+                own = n[:done].copy()
+                own[0] += sizes_held
+                whole = np.concatenate([*held, ids[:cut]])
+                yield next_, np.insert(whole, np.cumsum(own), end).astype(np.uint32), own + 1
+                held, sizes_held, next_ = [], 0, next_ + done
+            if w.unfinished:
+                held.append(ids[cut:])
+                sizes_held += len(ids) - cut
 
 
 @functools.lru_cache(2)

@@ -37,8 +37,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of some texts: hash, number of the text in the batch, number of the line counted over the chunk, and
-    the number of the first line of each text that the chunk holds."""
+    """Words of some texts: hash, number of the text in the batch, number of the line counted over the chunk, the
+    number of the first line of each text that the chunk holds, and where each word stands in the chunk's bytes."""
 
     hashes: np.ndarray
     text: np.ndarray
@@ -47,6 +47,10 @@ class Words:
     texts: int
     first_line: np.ndarray
     lines: int
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    unfinished: bool
 
 
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -114,6 +118,6 @@ def scan(column: pa.Array, cut_at: bytes = b" \t\n\r\x0b\x0c", chunk: int = CHUN
         owner = np.searchsorted(begins, starts, "right") - 1
         extra = np.cumsum(np.concatenate(([0], (np.diff(np.append(begins, len(data))) == 0)[:-1]))) if len(begins) else begins
         first = line[np.minimum(begins, len(data))] + extra
-        yield Words(_hash(data, starts, ends), text + owner, line[starts] + extra[owner], text, last - text, first, int(line[-1]) + 1 + int(extra[-1]) if len(begins) else 0)
+        yield Words(_hash(data, starts, ends), text + owner, line[starts] + extra[owner], text, last - text, first, int(line[-1]) + 1 + int(extra[-1]) if len(begins) else 0, data, starts, ends, bool(stop < offsets[last]))
         at = stop
         text = last if stop >= offsets[last] else text
