@@ -319,8 +319,8 @@ def test_held_out_toxic_documents_are_told_apart(size, most, apart):
     tails = np.zeros((len(ids), 2))
     for fold in range(4):
         out = ids % 4 == fold
-        model = quality.fit(*quality.features(pa.array(labels.text[~out])), grades[~out], np.ones((~out).sum()), 3)
-        tails[out] = model.tails(*quality.features(pa.array(labels.text[out])), out.sum())
+        model = quality.fit(quality.features(pa.array(labels.text[~out])), grades[~out], np.ones((~out).sum()), 3)
+        tails[out] = model.tails(quality.features(pa.array(labels.text[out])))
     toxic, good = tails[grades == 0], tails[grades == 2]
     assert (toxic[:, 1] >= quality.LEAST_TAIL).mean() <= most
     assert toxic.sum(1).mean() < good.sum(1).mean() - apart
@@ -329,14 +329,30 @@ def test_held_out_toxic_documents_are_told_apart(size, most, apart):
 
 def test_every_word_of_the_sample_has_a_weight():
     texts = ["good plain words"] * 60 + ["good vile words"] * 2 + ["good words odd"]
-    row, feat, value = quality.features(pa.array(texts))
+    x = quality.features(pa.array(texts))
     grades = np.array([2] * 60 + [0] * 2 + [1])
-    model = quality.fit(row, feat, value, grades, np.ones(63), 3)
-    assert set(model.names) == set(feat)
-    tails = model.tails(*quality.features(pa.array(["good plain words", "good vile words"])), 2)
+    model = quality.fit(x, grades, np.ones(63), 3)
+    assert set(model.names) == set(x.words) and len(model.names) == 5
+    tails = model.tails(quality.features(pa.array(["good plain words", "good vile words"])))
     assert tails[1, 1] < tails[0, 1] - 0.3
 
 
+def test_repeated_ids_and_ties_of_grades(spark):
+    """A doc_id that repeats with its label counts once, equal texts fare alike, and a long text is read to its end."""
+    texts = ["good plain words"] * 40 + ["good vile words"] * 40
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a")] * 50 + [(41, "good vile words", "b")]
+    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(80)] + [(0, 1, 0)] * 5, "doc_id bigint, quality int, toxic int")
+    model = quality.train(frame(spark, rows), quality.grades_of(labels))
+    once = quality.train(frame(spark, rows[:80]), quality.grades_of(labels))
+    assert (model.weights == once.weights).all()
+    got = quality.score(frame(spark, rows), model).collect()
+    assert len({r.p_tail for r in got if r.text == texts[0]}) == 1
+    long = quality.features(pa.array(["good " * 500_000 + "vile"]))
+    assert len(long.words) == 2
+    kept = {r.doc_id for r in quality.select_good(frame(spark, rows), labels).collect()}
+    assert kept == set(range(40))
+
+
 def test_model_scores_and_base(docs, texts):
     rows = {r.doc_id: r for r in lm.score(docs, docs.filter(~lm.held_out())).collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
