@@ -135,6 +135,26 @@ def test_oversize_parts_are_joined_in_a_grid(docs, monkeypatch):
     expected = {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()}
     monkeypatch.setattr(linededup, "PART", 40)
     assert {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()} == expected
+    monkeypatch.setattr(linededup, "PARTNERS", 1)  # a second round for lines that are unlike the first partner
+    monkeypatch.setattr(linededup, "FEW", 2)
+    assert {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()} == expected
+
+
+def test_entries_meet_all_that_the_filters_leave():
+    """Without a bound every pair comes out, whatever FEW is; with one, lines beyond it are given up, none is lost."""
+    rng = np.random.default_rng(2)
+    n = 400
+    sizes = rng.integers(4, 9, n)
+    entries = linededup.Entries(rng.integers(0, 3, n).astype("<u4"), np.arange(n).astype("<u8") // 2, sizes.astype("<u4"), np.zeros(n, "<u4"), np.zeros((n, 2), "<u8"), rng.integers(0, 50, n).astype("<f4"))
+    entries.n[1::2] = entries.n[::2]  # both entries of a line are of one set
+    a, b, none = linededup.join_entries(entries, 80, None)
+    token, key, size = entries.token, entries.key, entries.n.astype(int)
+    by_hand = {(min(key[i], key[j]), max(key[i], key[j])) for i in range(n) for j in range(n) if token[i] == token[j] and key[i] != key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    assert set(zip(a, b)) == by_hand and not len(none)
+    few_a, few_b, up = linededup.join_entries(entries, 80, 3)
+    assert set(zip(few_a, few_b)) < by_hand and len(few_a) < len(a) / 4
+    x, y, _ = linededup.join_entries(entries, 80, None, up)
+    assert set(zip(few_a, few_b)) | set(zip(x, y)) == by_hand
 
 
 def test_lines_of_odd_rows(spark, odd):
