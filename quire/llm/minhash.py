@@ -16,14 +16,16 @@ from quire.llm.components import components
 #: Minwise values of a document, 8 bits of each; how many two documents must share to be compared in full: at
 #: similarity 0.8 a pair shares 205 on average and fewer than 176 once in 300,000.
 VALUES, SHARED = 256, 176
-#: Independent trees, children that each document enters at a node, levels that are descended at once, and documents
-#: of a node that are compared one by one.
-TREES, BRANCHES, START, SMALL = 4, 2, 2, 256
-#: Central documents of a large node that all its others are compared with, minwise values that say which are central,
-#: and the depth at which large nodes are compared in blocks.
-PIVOTS, CENTRAL, DEPTH = 2, 32, 12
-#: Rounds of comparison: values that a pair must share, and partners that a document is tied to in a node.
-ROUNDS = ((205, 2), (190, 16), (SHARED, None))
+#: Independent trees, children that each document enters at a node, documents that the nodes of the first counted level
+#: hold on average at most, and documents of a node that are compared one by one.
+TREES, BRANCHES, USUAL, SMALL = 4, 2, 8, 96
+#: Nodes of the first counted level from which on all documents are compared with the PIVOTS central ones, and the minwise
+#: values that say which are central; levels after which large nodes are compared in blocks.
+HUB, PIVOTS, CENTRAL, DEPTH = 256, 2, 32, 6
+#: The last minwise values travel with the documents of small nodes.  Rounds of comparison: of these, values that a
+#: pair must share (at similarity 0.8 it shares 26 on average and fewer than 14 once in 600,000), and partners that a
+#: document is tied to in a node.
+SHORT, ROUNDS = 32, ((25, 2), (21, 16), (14, None))
 #: Ids that are sent to all tasks at most; more are joined by shuffle.
 SENT = 200_000
 
@@ -68,8 +70,8 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def values(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES)
+def values(column: pa.Array, width: int = VALUES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -98,9 +100,9 @@ def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def enter(rows: DataFrame, trees: int | None, extra: str = "") -> DataFrame:
-    """(node, id, and ``extra`` columns) of the children of each row's node; with ``trees``, of the nodes START levels
-    down from so many roots."""
+def enter(rows: DataFrame, trees: int | None, levels: int, extra: str = "") -> DataFrame:
+    """(node, id, and ``extra`` columns) of the nodes so many levels below each row's node, or with ``trees`` below so
+    many roots."""
     kinds = {"n": "bigint", "comp": "bigint", "sig": "binary"}
     more = extra.split()
 
@@ -112,7 +114,7 @@ def enter(rows: DataFrame, trees: int | None, extra: str = "") -> DataFrame:
                 node = np.tile(mix(np.arange(1, trees + 1, dtype=_U)), batch.num_rows)
             else:
                 node = batch.column("node").to_numpy().astype(_U)
-            for _ in range(START if trees else 1):
+            for _ in range(levels):
                 node, at = children(node, sig[at]).ravel(), np.repeat(at, BRANCHES)
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *(batch.column(c).take(rows) for c in ("id", *more))], ["node", "id", *more])
@@ -121,7 +123,7 @@ def enter(rows: DataFrame, trees: int | None, extra: str = "") -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None) -> DataFrame:
-    """Pairs (a, b) of one node that differ in component and may be similar.  Rows of a node come one after the
+    """Pairs (a, b) of one node that differ in component and share so many of their short values.  Rows of a node come one after the
     other; they are compared at distance 1, 2, ... for all nodes of a batch at once.  With ``partners``, a pair whose
     ids both have so many is left out, so that no id with a partner is left without one."""
 
@@ -141,7 +143,7 @@ def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None)
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, ids, comp, n = (t[c].to_numpy() for c in ("node", "id", "comp", "n"))
-        sig = values(t["sig"].combine_chunks() if t["sig"].num_chunks != 1 else t["sig"].chunk(0))
+        sig = values(t["short"].combine_chunks() if t["short"].num_chunks != 1 else t["short"].chunk(0), SHORT)
         at, lag, given = np.arange(len(node)), 0, np.zeros(len(node), np.int64)
         while True:
             lag += 1
@@ -162,7 +164,7 @@ def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None)
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
-    ordered = rows.select("node", "id", "n", "comp", "sig").repartition("node").sortWithinPartitions("node", "id")
+    ordered = rows.select("node", "id", "n", "comp", "short").repartition("node").sortWithinPartitions("node", "id")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -192,10 +194,22 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """A join with a table of ids, which is sent to all tasks if it is small."""
+    """A join with a table of numbers, which is sent to all tasks if it has few rows."""
     return rows.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, key, how)
 
 
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that share enough of all their minwise values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.count_nonzero(values(batch.column("sa")) == values(batch.column("sb")), axis=1) >= SHARED
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, hashes) of the classes in ``wanted`` (id, doc_id, text_hash): the whole set of one of their documents."""
 
@@ -230,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Two documents are linked if their sets of word shingles have 100 * intersection >= percent * union.  Documents
     with equal sets form a class.  Classes descend TREES random trees: at each node they are dealt out by their
     minwise values at BRANCHES chosen positions, until a node is small and its documents are compared with each
-    other.  First, all documents of a large node of one tree are compared with its central ones.  A node whose documents
+    other; the levels at which no node can be small yet are passed in one step.  First, all documents of a large node of one tree are compared with its central ones.  A node whose documents
     are one component needs no more; where only a few are not, these are compared with all the others, so that large
     groups of near copies descend no further.  Comparisons go in rounds: the most similar few partners of each document,
     then more, then all that are still in another component.  Candidate pairs are
@@ -249,14 +263,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = held.groupBy(F.col("key").alias("id")).agg(first.alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.keep(classes.select("id", F.col("f.doc_id").alias("least"), F.col("f.text_hash").alias("text_hash"), "n", "sig"), "classes")
     comps = spark.createDataFrame([], "id bigint, component bigint")
-    sets = links = tried = None
-    rounds = 0
+    sets = tried = None
+    rounds, levels = 0, 2
+    while classes.count() > USUAL << (8 * levels):  # levels that no node of a usual size ends at
+        levels += 1
 
     def known(rows: DataFrame) -> DataFrame:
         return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
     def confirm(pairs: DataFrame) -> None:
-        nonlocal links, comps, rounds, sets, tried
+        nonlocal comps, rounds, sets, tried
         rounds += 1
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{rounds}")
         if pairs.isEmpty():
@@ -268,29 +284,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not wanted.isEmpty():
             more = scratch.keep(full_sets(docs, wanted, size), f"sets-{rounds}")
             sets = more if sets is None else sets.union(more)
-        found = scratch.keep(confirmed(pairs, sets, percent), f"links-{rounds}")
-        links = found if links is None else links.union(found)
-        comps = components(links, scratch, f"comp-{rounds}")
-
-    large = enter(classes, 1).groupBy("node").count().filter(F.col("count") > SMALL).select("node")
-    large = scratch.keep(large, "hubs")
-    if not large.isEmpty():
-        confirm(pivot_pairs(narrowed(enter(classes.withColumn("comp", F.col("id")), 1, "n comp sig"), large, "node", "inner"), percent))
-    entries, leaves, level = enter(known(classes), TREES, "comp"), [], 0
+        found = confirmed(pairs, sets, percent)
+        comps = components(found.union(comps.toDF("a", "b")), scratch, f"comp-{rounds}")
+
+    hubs = enter(classes, 1, levels).groupBy("node").count().filter(F.col("count") > HUB).select("node")
+    hubs = scratch.keep(hubs, "hubs")
+    if not hubs.isEmpty():
+        confirm(pivot_pairs(narrowed(enter(classes.withColumn("comp", F.col("id")), 1, levels, "n comp sig"), hubs, "node", "inner"), percent))
+    entries, leaves, level = enter(known(classes), TREES, levels, "comp"), [], 0
     while True:
         mixed = entries.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
-        live = scratch.keep(narrowed(entries.select("node", "id"), scratch.keep(mixed, f"mixed-{level}"), "node", "inner"), f"live-{level}")
+        live = scratch.keep(narrowed(entries, scratch.keep(mixed, f"mixed-{level}"), "node", "inner"), f"live-{level}")
+        scratch.drop(f"mixed-{level}")
         leaves.append(live.filter(F.col("c") <= SMALL).select("node", "id"))
         large = live.filter(F.col("c") > SMALL)
         if large.isEmpty():
             break
         level += 1
-        if START + level >= DEPTH:  # what no value divides is compared in blocks of the same size
+        if level >= DEPTH:  # what no value divides is compared in blocks of the same size
             blocks = F.ceil(F.col("c") / SMALL)
             cells = large.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             leaves.append(cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id"))
             break
-        large = scratch.keep(known(large), f"large-{level}")
         sizes = large.groupBy("node", "comp").count()
         main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("all"))
         large = scratch.keep(narrowed(large, scratch.keep(main, f"main-{level}"), "node", "inner"), f"split-{level}")
@@ -299,15 +314,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         own = F.array(F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
         met = few.withColumn("b", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         leaves.append(met.select(F.xxhash64("node", F.lit(level), "b").alias("node"), "id"))
-        below = enter(large.filter(F.col("others") > SMALL).select("node", "id").join(classes.select("id", "sig"), "id"), None)
+        below = large.filter(F.col("others") > SMALL).select("node", "id", "comp")
+        entries = scratch.keep(enter(below.join(classes.select("id", "sig"), "id"), None, 1, "comp"), f"below-{level}")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.union(more)
+    short = classes.select("id", "n", F.substring("sig", VALUES - SHORT + 1, SHORT).alias("short"))
     for shared, partners in ROUNDS:
-        if rounds and links is not None:  # only nodes whose documents are still of several components
+        if rounds:  # only nodes whose documents are still of several components
             open_ = known(small).groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
-            small = scratch.keep(narrowed(small, scratch.keep(open_, f"open-{rounds}"), "node", "inner"), f"small-{rounds}")
-        confirm(near_pairs(known(small.join(classes.select("id", "n", "sig"), "id")), percent, shared, partners))
+            small = scratch.keep(narrowed(small, scratch.keep(open_, f"open-{shared}"), "node", "inner"), f"small-{shared}")
+        confirm(likely(near_pairs(known(small.join(short, "id")), percent, shared, partners), classes))
     named = known(classes.select("id", "least"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     placed = named.join(least, "comp").select(F.col("id").alias("key"), "component_id")
