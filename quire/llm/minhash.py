@@ -18,16 +18,19 @@ from quire.llm.components import components
 VALUES, SHARED = 256, 176
 #: Independent trees, children that each document enters at a node, documents that the nodes of the first counted level
 #: hold on average at most, and documents of a node that are compared one by one.
-TREES, BRANCHES, USUAL, SMALL = 4, 2, 8, 96
+TREES, BRANCHES, USUAL, SMALL = 4, 2, 2, 96
 #: Nodes of the first counted level from which on all documents are compared with the PIVOTS central ones, and the minwise
-#: values that say which are central; levels after which large nodes are compared in blocks.
-HUB, PIVOTS, CENTRAL, DEPTH = 256, 2, 32, 6
+#: values that say which are central; documents outside a node's largest component that are compared with all of it; levels
+#: after which large nodes are compared in blocks.
+HUB, PIVOTS, CENTRAL, FEW, DEPTH = 256, 4, 32, 1024, 6
 #: The last minwise values travel with the documents of small nodes.  Rounds of comparison: of these, values that a
-#: pair must share (at similarity 0.8 it shares 26 on average and fewer than 14 once in 600,000), and partners that a
+#: pair must share (at similarity 0.8 it shares 51 on average and fewer than 36 once in 300,000), and partners that a
 #: document is tied to in a node.
-SHORT, ROUNDS = 32, ((25, 2), (21, 16), (14, None))
-#: Ids that are sent to all tasks at most; more are joined by shuffle.
-SENT = 200_000
+SHORT, ROUNDS = 64, ((50, 2), (43, 16), (36, None))
+#: Numbers that are sent to all tasks at most; more are joined by shuffle.
+SENT = 1_000_000
+#: Bytes of full sets that are sent to all tasks at most.
+SENT_BYTES = 24_000_000
 
 _U = np.uint64
 
@@ -123,9 +126,11 @@ def enter(rows: DataFrame, trees: int | None, levels: int, extra: str = "") -> D
 
 
 def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None) -> DataFrame:
-    """Pairs (a, b) of one node that differ in component and share so many of their short values.  Rows of a node come one after the
-    other; they are compared at distance 1, 2, ... for all nodes of a batch at once.  With ``partners``, a pair whose
-    ids both have so many is left out, so that no id with a partner is left without one."""
+    """Pairs (a, b) of one node that differ in component and share so many of their short values; and (null, null,
+    node) of nodes that hold more pairs for the last round.  Rows of a node come one after the other; they are compared
+    at distance 1, 2, ... for all nodes of a batch at once.  With ``partners``, a pair whose ids both have so many is
+    left out, so that no id with a partner is left without one."""
+    least = ROUNDS[-1][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -144,28 +149,32 @@ def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None)
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, ids, comp, n = (t[c].to_numpy() for c in ("node", "id", "comp", "n"))
         sig = values(t["short"].combine_chunks() if t["short"].num_chunks != 1 else t["short"].chunk(0), SHORT)
-        at, lag, given = np.arange(len(node)), 0, np.zeros(len(node), np.int64)
+        at, lag, given, more = np.arange(len(node)), 0, np.zeros(len(node), np.int64), []
         while True:
             lag += 1
             at = at[at + lag < len(node)]
             at = at[node[at] == node[at + lag]]
             if not len(at):
-                return
+                break
             for i in (at[k : k + 20_000] for k in range(0, len(at), 20_000)):
                 j = i + lag
                 ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                same = np.count_nonzero(sig[i] == sig[j], axis=1)
+                ok = same >= shared
                 if partners is not None:
                     ok &= (given[i] < partners) | (given[j] < partners)
-                i, j = i[ok], j[ok]
-                ok = np.count_nonzero(sig[i] == sig[j], axis=1) >= shared
+                    more.append(np.unique(node[i[(same >= least) & ~ok]]))
                 i, j = i[ok], j[ok]
                 given[i] += 1
                 given[j] += 1
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.nulls(len(i), pa.int64())], ["a", "b", "node"])
+        nodes = np.unique(np.concatenate([np.zeros(0, np.int64), *more]))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array(nodes)], ["a", "b", "node"])
 
     ordered = rows.select("node", "id", "n", "comp", "short").repartition("node").sortWithinPartitions("node", "id")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, "a bigint, b bigint, node bigint").distinct()
 
 
 def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -176,8 +185,8 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     usual = rows.groupBy("node").agg(*(F.mode(x).alias(f"m{i}") for i, x in enumerate(lead)))
     off = sum(((x != F.col(f"m{i}")).cast("int") for i, x in enumerate(lead)), F.lit(0))
     as_pivot = F.struct("id", "n", "comp", "sig")
-    pick = [F.min_by(as_pivot, F.struct(off, F.xxhash64(F.lit(i), "id"))).alias(f"p{i}") for i in range(PIVOTS)]
-    chosen = narrowed(rows, usual, "node", "inner").groupBy("node").agg(*pick)
+    pick = [F.min_by(as_pivot, F.struct((F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(PIVOTS)) != i).cast("int"), off, "id")).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = narrowed(rows, usual, "node", "inner", CENTRAL).groupBy("node").agg(*pick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,12 +199,13 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 ok &= np.count_nonzero(sig == values(p.field(3)), axis=1) >= SHARED
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, pid)[ok]), pa.array(np.maximum(ids, pid)[ok])], ["a", "b"])
 
-    return narrowed(rows, chosen, "node", "inner").mapInArrow(run, "a bigint, b bigint").distinct()
+    return narrowed(rows, chosen, "node", "inner", PIVOTS * VALUES // 4).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def narrowed(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """A join with a table of numbers, which is sent to all tasks if it has few rows."""
-    return rows.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, key, how)
+def narrowed(rows: DataFrame, ids: DataFrame, key: str, how: str, width: int = 2) -> DataFrame:
+    """A join with a table of so many numbers a row, which is sent to all tasks if it has few."""
+    most = SENT // width
+    return rows.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, key, how)
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -210,16 +220,29 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def shorter(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, by which two sets are compared: among a million shingles two differing ones are
+    taken for equal once in 500."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def restored(data: pa.Buffer) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, 2:] = short
+    return whole.view("<u8").ravel()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, hashes) of the classes in ``wanted`` (id, doc_id, text_hash): the whole set of one of their documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), size).tobytes() for t in batch.column("text")]
+            found = [shorter(shingles(t.as_py(), size)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "hashes"])
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return narrowed(hashed, wanted, ["doc_id", "text_hash"], "inner").select("id", "text").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, hashes binary")
+    return narrowed(hashed, wanted, ["doc_id", "text_hash"], "inner", 6).select("id", "text").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,12 +252,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for a, b in zip(batch.column("ha"), batch.column("hb")):
-                x, y = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = restored(a.as_buffer()), restored(b.as_buffer())
+                both = np.sort(np.concatenate([x, y]))
+                both = np.count_nonzero(both[1:] == both[:-1])
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
+    size = sets.agg(F.sum(F.length("hashes") + 16)).first()[0] or 0
+    sent = (lambda x: F.broadcast(x)) if size <= SENT_BYTES else lambda x: x  # a hot group has few sets and many pairs
+    side = lambda c: sent(sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint")
 
 
@@ -310,21 +336,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("all"))
         large = scratch.keep(narrowed(large, scratch.keep(main, f"main-{level}"), "node", "inner"), f"split-{level}")
         # one component and few others: each of the others meets all of it, a block at a time
-        few = large.filter(F.col("others") <= SMALL).withColumn("blocks", F.ceil(F.col("all") / SMALL))
+        few = large.filter(F.col("others") <= FEW).withColumn("blocks", F.ceil(F.col("all") / SMALL))
         own = F.array(F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
         met = few.withColumn("b", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         leaves.append(met.select(F.xxhash64("node", F.lit(level), "b").alias("node"), "id"))
-        below = large.filter(F.col("others") > SMALL).select("node", "id", "comp")
+        below = large.filter(F.col("others") > FEW).select("node", "id", "comp")
         entries = scratch.keep(enter(below.join(classes.select("id", "sig"), "id"), None, 1, "comp"), f"below-{level}")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.union(more)
     short = classes.select("id", "n", F.substring("sig", VALUES - SHORT + 1, SHORT).alias("short"))
-    for shared, partners in ROUNDS:
-        if rounds:  # only nodes whose documents are still of several components
-            open_ = known(small).groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
-            small = scratch.keep(narrowed(small, scratch.keep(open_, f"open-{shared}"), "node", "inner"), f"small-{shared}")
-        confirm(likely(near_pairs(known(small.join(short, "id")), percent, shared, partners), classes))
+    for number, (shared, partners) in enumerate(ROUNDS):
+        near = scratch.keep(near_pairs(known(small.join(short, "id")), percent, shared, partners), f"near-{number}")
+        confirm(likely(near.filter("node IS NULL").select("a", "b"), classes))
+        small = scratch.keep(narrowed(small, near.filter("node IS NOT NULL").select("node"), "node", "left_semi"), f"small-{number}")
     named = known(classes.select("id", "least"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     placed = named.join(least, "comp").select(F.col("id").alias("key"), "component_id")
