@@ -14,7 +14,7 @@ import pyarrow as pa
 from quire.llm import words
 
 #: Words that a worker remembers before it starts afresh.
-WORDS = 1_100_000
+WORDS = 900_000
 # Below U+0100 texts are in composed form already and lower case goes letter by letter, so the tokenizer's own pattern
 # can be applied here: contractions, letters, single digits, other marks; a line feed stands after each word.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+|\n")

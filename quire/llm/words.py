@@ -11,7 +11,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes that are looked at together; a longer text is cut before white space.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 

@@ -137,7 +137,9 @@ def test_oversize_parts_are_joined_in_a_grid(docs, monkeypatch):
     assert {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()} == expected
     monkeypatch.setattr(linededup, "PARTNERS", 1)  # a second round for lines that are unlike the first partner
     monkeypatch.setattr(linededup, "FEW", 2)
-    assert {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()} == expected
+    for asked in (linededup.ASKED, 0):
+        monkeypatch.setattr(linededup, "ASKED", asked)
+        assert {(r.doc_id, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()} == expected
 
 
 def test_entries_meet_all_that_the_filters_leave():
