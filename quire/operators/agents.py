@@ -87,13 +87,20 @@ def transcript(events: DataFrame) -> DataFrame:
 
 
 def exit_event(runs: DataFrame, events: DataFrame) -> DataFrame:
-    """How each run (run_id, rc, signal, timeout, cancelled, stderr) ended."""
+    """How each run (run_id, rc, signal, timeout, cancelled, spawn_error, stderr) ended, by the first cause that holds:
+    it never began, ran out of time, was cancelled (whatever signal ended it), died by a signal, or gave a code that isn't 0.
+    A run that died by a signal has no code.  An error that the log told already isn't told again."""
     failed = events.groupBy("run_id").agg(F.bool_or(F.col("type") == "error").alias("_e"))
     rows = runs.join(failed, "run_id", "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
-    bad = F.col("rc") != 0
-    reason = F.when(F.col("timeout") | F.col("signal").isNotNull(), "error").when(F.col("cancelled"), "cancelled").when(bad, "error").otherwise("completed")
-    error = F.when(F.col("timeout"), "timeout").when(bad & ~F.col("_e"), F.right("stderr", F.lit(600)))
-    return rows.select("run_id", reason.alias("reason"), F.when(F.col("cancelled") & ~F.col("timeout"), None).otherwise(error).alias("error"), F.when(bad & F.col("stderr").rlike(RESUME), "resume_failed").alias("code"))
+    tail = F.nullif(F.right(F.trim("stderr"), F.lit(600)), F.lit(""))
+    lost, late, off = F.col("spawn_error").isNotNull(), F.col("timeout"), F.col("cancelled")
+    killed, bad = F.col("signal").isNotNull() & F.col("rc").isNull(), F.coalesce(F.col("rc") != 0, F.lit(False))
+    resume = F.coalesce(F.col("stderr").rlike(RESUME), F.lit(False))
+    reason = F.when(lost | late, "error").when(off, "cancelled").when(killed | bad, "error").otherwise("completed")
+    error = F.when(lost, F.col("spawn_error")).when(late, "timeout").when(off, None)
+    error = error.when(killed, F.coalesce(tail, F.concat(F.lit("signal "), "signal"))).when(bad & resume, "resume failed").when(bad & ~F.col("_e"), F.coalesce(tail, F.concat(F.lit("code "), F.col("rc").cast("string"))))
+    code = F.when(lost, "spawn_failed").when(late, "timeout").when(off | killed, None).when(bad & resume, "resume_failed")
+    return rows.select("run_id", reason.alias("reason"), error.alias("error"), code.alias("code"))
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:

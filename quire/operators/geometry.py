@@ -47,8 +47,9 @@ def drawing_rules(paths: DataFrame) -> DataFrame:
 
 
 def fix_payload(resolved: DataFrame, issues: DataFrame) -> DataFrame:
-    """For each page with defects of text, mixed or unknown kind: its segments as they are now, and its issues."""
+    """For each page with defects of text, mixed or unknown kind: its segments as they are now (id, en and vi, a JSON
+    object each line), and its issues."""
     rows = issues.filter((F.coalesce("kind", F.lit("defect")) != "fit") & F.col("channel").isin("text", "mixed", "unknown"))
     told = rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "detail"))), lambda x: x["detail"]), "; ").alias("issues"))
-    held = resolved.join(told.select(*PAGE), PAGE, "left_semi").groupBy(*PAGE).agg(F.count("*").alias("segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("id", F.lit("="), F.left("vi", F.lit(20))).alias("t")))), lambda x: x["t"]), "\n").alias("current"))
+    held = resolved.join(told.select(*PAGE), PAGE, "left_semi").groupBy(*PAGE).agg(F.count("*").alias("segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(F.struct("id", F.col("text").alias("en"), "vi")).alias("t")))), lambda x: x["t"]), "\n").alias("current"))
     return told.join(held, PAGE)

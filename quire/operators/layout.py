@@ -13,7 +13,7 @@ PAGE, LINE, BLOCK = ["tag", "page"], ["tag", "page", "block", "line"], ["tag", "
 
 def span_features(spans: DataFrame) -> DataFrame:
     """Every span with what its text and font say about it."""
-    t, font, flags = F.col("text"), F.col("font"), F.col("flags")
+    t, font, flags = F.trim("text"), F.col("font"), F.col("flags")
     return spans.withColumns({
         "is_copyright": layout.is_copyright(t), "is_heading_font": layout.is_heading_font(font), "is_code_font": layout.is_code_font(font),
         "is_bold": layout.is_bold(font, flags), "is_italic": layout.is_italic(font, flags), "is_superscript": layout.is_superscript(flags), "num_cell": layout.num_cell(t),
@@ -30,11 +30,13 @@ def _ordered(value: str, sep: str, *order: str) -> Column:
 
 
 def line_features(spans: DataFrame) -> DataFrame:
-    """Each line: text, box, dominant span, share of heading type, whether it is a number or formula."""
-    heading = layout.is_heading_font(F.col("font")) | layout.is_bold(F.col("font"), F.col("flags"))
-    chars = F.length(F.trim("text"))
+    """Each line: text, box, dominant span, share of heading type (a heading font, or larger than the page's body by
+    more than 12 %), whether it is a number or formula."""
+    spans = spans.join(body_size(spans), PAGE, "left")
+    heading = layout.is_heading_font(F.col("font")) | (F.col("size") > F.coalesce("body", F.lit(10.0)) * 1.12)
+    chars = F.length(F.replace(F.trim("text"), F.lit(" "), F.lit("")))
     lines = spans.groupBy(*LINE).agg(
-        _ordered("text", " ", "span").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        _ordered("text", "", "span").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.max_by(F.struct("font", "size"), F.struct(F.length("text"), -F.col("span"))).alias("dominant"),
         (F.coalesce(F.sum(F.when(heading, chars)), F.lit(0)) / F.greatest(F.sum(chars), F.lit(1))).alias("heading_share"),
     )

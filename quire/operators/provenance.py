@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import documents
+
 # What each kind of change makes stale, and what a redo of a stage drops.
 STALE = {"source": ["layout", "chunks", "memory", "report", "verdicts"], "translation": ["chunks", "report"]}
 REDO = {"translate": ["out", "vout", "stamps", "verdicts"], "verify": ["vout", "stamps", "verdicts"], "vision": ["verdicts"]}
@@ -43,8 +45,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stale_reviews(outputs: DataFrame, pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Pages to review again: no pair image, one older than the output, or no verdict that is a list."""
-    good = verdicts.filter(F.ltrim("raw").startswith("[")).select("tag", "page").distinct().withColumn("_v", F.lit(True))
+    """Pages to review again: no pair image, one older than the output, or no verdict that is a whole list."""
+    good = verdicts.filter(documents.json_kind(F.col("raw")) == "list").select("tag", "page").distinct().withColumn("_v", F.lit(True))
     rows = outputs.join(pairs, ["tag", "page"], "left").join(good, ["tag", "page"], "left")
     why = F.when(F.col("pair_time").isNull(), "no image").when(F.col("pair_time") < F.col("output_time"), "old image").when(F.col("_v").isNull(), "no verdict")
     return rows.select("tag", "page", why.alias("why")).filter("why IS NOT NULL")
@@ -53,12 +55,12 @@ def stale_reviews(outputs: DataFrame, pairs: DataFrame, verdicts: DataFrame) ->
 def same_slot(a: Column, b: Column) -> Column:
     """Whether two boxes are the same place: overlaps of the smaller, ratios of sizes, distance of centres."""
     cut = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
-    size = lambda r, lo, hi: r[hi] - r[lo]
+    size = lambda r, lo, hi: F.greatest(r[hi] - r[lo], F.lit(0.01))
     ratio = lambda lo, hi: F.greatest(size(a, lo, hi), size(b, lo, hi)) / F.least(size(a, lo, hi), size(b, lo, hi))
     near = lambda lo, hi: F.abs(a[lo] + a[hi] - b[lo] - b[hi]) / 2
     x = cut("x0", "x1") / F.least(size(a, "x0", "x1"), size(b, "x0", "x1")) >= 0.9
     y = cut("y0", "y1") / F.least(size(a, "y0", "y1"), size(b, "y0", "y1")) >= 0.65
-    return x & y & (ratio("x0", "x1") <= 1.35) & (ratio("y0", "y1") <= 1.6) & (near("x0", "x1") <= 20) & (near("y0", "y1") <= 3)
+    return x & y & (ratio("x0", "x1") <= 1.35) & (ratio("y0", "y1") <= 1.6) & (near("x0", "x1") <= 3) & (near("y0", "y1") <= 20)
 
 
 def raster_diff(samples: DataFrame, most: int = 200_000) -> DataFrame:
@@ -93,7 +95,7 @@ def split_runs(lines: DataFrame) -> DataFrame:
 def unit_context(units: DataFrame, most: int = 6) -> DataFrame:
     """For each chunk its source pages in order of appearance, and the context of its first units."""
     pages = units.groupBy("tag", "idx", "page").agg(F.min("pos").alias("at")).groupBy("tag", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "page"))), lambda x: x["page"].cast("string")), ",").alias("pages"))
-    first = units.filter(F.col("pos") < most).groupBy("tag", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("id", F.lit(": "), F.left("previous_tail", F.lit(40))).alias("c")))), lambda x: x["c"]), "\n").alias("context"))
+    first = units.filter(F.col("pos") < most).groupBy("tag", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("id", F.lit(": "), "previous_tail").alias("c")))), lambda x: x["c"]), "\n").alias("context"))
     return pages.join(first, ["tag", "idx"])
 
 

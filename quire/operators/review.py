@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions import defects
+from quire.functions import defects, documents
 
 VERDICT = "array<struct<kind:string,severity:string,detail:string>>"
 
@@ -79,14 +79,14 @@ def review_summary(issues: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def merge_verdicts(verdicts: DataFrame) -> DataFrame:
-    """Issue rows of all page verdicts that are lists, in order of pages."""
-    good = verdicts.filter(F.ltrim("raw").startswith("[")).withColumn("v", F.from_json("raw", VERDICT))
+    """Issue rows of all page verdicts that are whole lists, in order of pages."""
+    good = verdicts.filter(documents.json_kind(F.col("raw")) == "list").withColumn("v", F.from_json("raw", VERDICT))
     return good.select("tag", "page", F.posexplode("v").alias("pos", "i")).select("tag", "page", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
     """Files, bad files and high issues of each volume."""
-    bad = verdicts.groupBy("tag").agg(F.count("*").alias("files"), F.count_if(~F.ltrim("raw").startswith("[")).alias("bad"))
+    bad = verdicts.groupBy("tag").agg(F.count("*").alias("files"), F.count_if(F.coalesce(documents.json_kind(F.col("raw")) != "list", F.lit(True))).alias("bad"))
     high = merge_verdicts(verdicts).groupBy("tag").agg(F.count_if(F.col("severity") == "high").alias("high"))
     return bad.join(high, "tag", "left").select("tag", "files", "bad", F.coalesce("high", F.lit(0)).alias("high"))
 

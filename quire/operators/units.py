@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import documents
+
 CHUNK, VERIFY_CHUNK, CONTEXT = 40, 25, 240
 MAP = "map<string,string>"
 
@@ -57,10 +59,8 @@ def explode_outputs(outputs: DataFrame) -> DataFrame:
 
 def read_checkpoints(outputs: DataFrame) -> DataFrame:
     """Each output's shape: object, list, or bad when it can't be parsed, which queues it again."""
-    start = F.substring(F.ltrim("raw"), 1, 1)
-    as_map = (start == "{") & F.from_json("raw", MAP, {"mode": "PERMISSIVE"}).isNotNull() & F.trim("raw").endswith("}")
-    as_list = (start == "[") & F.trim("raw").endswith("]")
-    return outputs.select("tag", "idx", F.when(as_map, "object").when(as_list, "list").otherwise("bad").alias("shape"))
+    kind = documents.json_kind(F.col("raw"))
+    return outputs.select("tag", "idx", F.when(kind.isin("object", "list"), kind).otherwise("bad").alias("shape"))
 
 
 def unit_valid(units: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def stage_gate(units: DataFrame, outputs: DataFrame, stage: str) -> DataFrame:
         return shapes.select("tag", "idx", (F.col("shape") == "list").alias("passes"))
     if stage == "verify":
         return shapes.select("tag", "idx", (F.col("shape") == "object").alias("passes"))
-    from quire.functions import markers
+    from quire.functions import documents, markers
 
     given = explode_outputs(outputs).select("tag", "idx", "id", "vi")
     rows = units.select("tag", "idx", "id", "text").join(given, ["tag", "idx", "id"], "left")

@@ -54,16 +54,24 @@ add("transcript", lambda s, d: agents.transcript(events(s, d)), f"{EVENTS} SELEC
 
 
 def runs(s: SparkSession, d: str) -> DataFrame:
+    """Runs that ended in all ways, some in several: cancelled by a signal, late with a code."""
     r = F.col("run_id")
-    return log(s, d).select("run_id").distinct().select("run_id", F.when(r % 5 == 0, 1).otherwise(0).alias("rc"), F.when(r % 11 == 1, "SIGKILL").alias("signal"), (r % 7 == 3).alias("timeout"), (r % 6 == 2).alias("cancelled"), F.concat(F.lit("stderr of session "), r.cast("string"), F.when(r % 10 == 0, F.lit(" not found")).otherwise("")).alias("stderr"))
+    signal = F.when(r % 11 == 1, "SIGKILL").when(r % 12 == 2, "SIGTERM")
+    return log(s, d).select("run_id").distinct().select(
+        "run_id", F.when(signal.isNull(), F.when(r % 5 == 0, 1).otherwise(0)).alias("rc"), signal.alias("signal"), (r % 7 == 3).alias("timeout"), (r % 6 == 2).alias("cancelled"),
+        F.when(r % 29 == 4, "no such program").alias("spawn_error"), F.when(r % 22 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("stderr of session "), r.cast("string"), F.when(r % 10 == 0, F.lit(" not found")).otherwise(""))).alias("stderr"),
+    )
 
 
 add(
     "exit_event",
     lambda s, d: agents.exit_event(runs(s, d), events(s, d)),
-    f"""{EVENTS}, f AS (SELECT run_id, bool_or(type = 'error') AS e FROM v_events GROUP BY run_id), u AS (SELECT DISTINCT run_id, run_id % 5 = 0 AS bad, run_id % 11 = 1 AS sig, run_id % 7 = 3 AS late, run_id % 6 = 2 AS off FROM c)
-SELECT u.run_id, CASE WHEN late OR sig THEN 'error' WHEN off THEN 'cancelled' WHEN bad THEN 'error' ELSE 'completed' END AS reason,
-  CASE WHEN off AND NOT late THEN NULL WHEN late THEN 'timeout' WHEN bad AND NOT coalesce(f.e, false) THEN 'stderr of session ' || u.run_id || CASE WHEN u.run_id % 10 = 0 THEN ' not found' ELSE '' END END AS error, CASE WHEN u.run_id % 10 = 0 THEN 'resume_failed' END AS code FROM u LEFT JOIN f USING (run_id)""",
+    f"""{EVENTS}, f AS (SELECT run_id, bool_or(type = 'error') AS e FROM v_events GROUP BY run_id), k AS (SELECT DISTINCT run_id, CASE WHEN run_id % 11 = 1 THEN 'SIGKILL' WHEN run_id % 12 = 2 THEN 'SIGTERM' END AS sig FROM c),
+u AS (SELECT run_id, sig, sig IS NULL AND run_id % 5 = 0 AS bad, run_id % 7 = 3 AS late, run_id % 6 = 2 AS off, run_id % 29 = 4 AS lost, run_id % 10 = 0 AS gone, CASE WHEN run_id % 22 <> 1 THEN 'stderr of session ' || run_id END AS told FROM k)
+SELECT u.run_id, CASE WHEN lost OR late THEN 'error' WHEN off THEN 'cancelled' WHEN sig IS NOT NULL OR bad THEN 'error' ELSE 'completed' END AS reason,
+  CASE WHEN lost THEN 'no such program' WHEN late THEN 'timeout' WHEN off THEN NULL WHEN sig IS NOT NULL THEN coalesce(told || CASE WHEN gone THEN ' not found' ELSE '' END, 'signal ' || sig)
+    WHEN bad AND gone AND told IS NOT NULL THEN 'resume failed' WHEN bad AND NOT coalesce(f.e, false) THEN coalesce(told, 'code 1') END AS error,
+  CASE WHEN lost THEN 'spawn_failed' WHEN late THEN 'timeout' WHEN off OR sig IS NOT NULL THEN NULL WHEN bad AND gone AND told IS NOT NULL THEN 'resume_failed' END AS code FROM u LEFT JOIN f USING (run_id)""",
     plain=True,
 )
 

@@ -63,7 +63,7 @@ renamed = lambda df: df.withColumn("tag", F.concat(F.lit("u"), F.substring_index
 
 def payload(s: SparkSession, d: str) -> DataFrame:
     segs = views.segments(s, d)
-    now = memory.resolve_translation(segs, views.memory(s, d), overrides(s, d)).join(segs.select("tag", "id", "seq", "doc_id"), ["tag", "id"])
+    now = memory.resolve_translation(segs, views.memory(s, d), overrides(s, d)).join(segs.select("tag", "id", "seq", "doc_id", "text"), ["tag", "id"])
     return geometry.fix_payload(renamed(now).withColumn("seq", F.col("doc_id") * 100_000 + F.col("seq")), review_ops.enrich(views.issues(s, d)))
 
 
@@ -71,6 +71,6 @@ add(
     "fix_payload",
     payload,
     f"""{RESOLVED}, i AS (SELECT tag, page, string_agg(detail, '; ' ORDER BY seq) AS issues FROM v_issues WHERE coalesce(kind, 'defect') <> 'fit' AND {defects.sql('detail', 1)} IN ('text', 'mixed', 'unknown') GROUP BY tag, page),
-g AS (SELECT 'u' || split_part(r.tag, '/', 2) AS tag, r.page, r.id, r.vi, s.doc_id * 100000 + s.seq AS o FROM v_resolved r JOIN v_segments s ON r.tag = s.tag AND r.id = s.id)
-SELECT i.tag, i.page, i.issues, count(*) AS segments, string_agg(g.id || '=' || left(g.vi, 20), chr(10) ORDER BY g.o) AS current FROM i JOIN g ON i.tag = g.tag AND i.page = g.page GROUP BY i.tag, i.page, i.issues""",
+g AS (SELECT 'u' || split_part(r.tag, '/', 2) AS tag, r.page, r.id, r.text, r.vi, s.doc_id * 100000 + s.seq AS o FROM v_resolved r JOIN v_segments s ON r.tag = s.tag AND r.id = s.id)
+SELECT i.tag, i.page, i.issues, count(*) AS segments, string_agg(to_json({{'id': g.id, 'en': g.text, 'vi': g.vi}})::VARCHAR, chr(10) ORDER BY g.o) AS current FROM i JOIN g ON i.tag = g.tag AND i.page = g.page GROUP BY i.tag, i.page, i.issues""",
 )

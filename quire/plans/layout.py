@@ -28,21 +28,22 @@ FEATURES = {
     "label_span": "regexp_matches(text, '^[A-Za-z0-9]{1,2}[.)]$')",
 }
 for _name, _sql in FEATURES.items():
-    add(_name, lambda s, d, f=_name: layout.page_counts(views.spans(s, d), f), f"SELECT tag, page, count(*) FILTER ({_sql}) AS spans FROM v_spans GROUP BY tag, page")
+    add(_name, lambda s, d, f=_name: layout.page_counts(views.spans(s, d), f), f"SELECT tag, page, count(*) FILTER ({_sql}) AS spans FROM (SELECT * REPLACE (trim(text, ' ') AS text) FROM v_spans) GROUP BY tag, page")
 
 FORMULA = lambda t: (
     f"({t} <> '' AND ((length({t}) <= 50 AND ((regexp_matches({t}, '^[A-Za-z][A-Za-z0-9]{{0,4}}\\s*=') AND {COUNT(t, M)} >= greatest(2.0, {COUNT(t, '[\\p{L}]')} * 0.4)) OR ({COUNT(t, '[A-Za-z]{2,}')} <= 1 AND {COUNT(t, M)} / greatest(length({t}), 1) > 0.55)))"
     f" OR ((regexp_matches({t}, '{STRONG}') OR contains({t}, '=')) AND {COUNT(t, M)} >= 3 AND {COUNT(t, '[A-Za-z]{4,}')} <= 2) OR ({COUNT(t, '[A-Za-z]{4,}')} = 0 AND {COUNT(t, M)} >= 3 AND {COUNT(t, '[A-Za-z]{2,}')} <= 3)))"
 )
-LINES = f"""+ v_line AS (SELECT tag, page, block, line, string_agg(text, ' ' ORDER BY span) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
-  coalesce(sum(length(text)) FILTER (regexp_matches(lower(font), 'bold|black|cond|italic') OR flags & 16 <> 0), 0) / greatest(sum(length(text)), 1) AS heading_share,
-  arg_max({{'font': font, 'size': size}}, (length(text), -span)) AS dominant FROM v_spans GROUP BY tag, page, block, line)"""
+BODY = "v_body AS (SELECT tag, page, median(size) AS body FROM (SELECT tag, page, size, unnest(range(length(trim(text, ' ')))) FROM v_spans) GROUP BY tag, page)"
+LINES = f"""+ {BODY}, v_line AS (SELECT tag, page, block, line, string_agg(text, '' ORDER BY span) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+  coalesce(sum(length(trim(text, ' '))) FILTER (regexp_matches(lower(font), 'bold|black|cond|italic') OR size > body * 1.12), 0) / greatest(sum(length(trim(text, ' '))), 1) AS heading_share,
+  arg_max({{'font': font, 'size': size}}, (length(text), -span)) AS dominant FROM v_spans JOIN v_body USING (tag, page) GROUP BY tag, page, block, line)"""
 add("line_text", lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", "line", "text"), f"{LINES} SELECT tag, page, line, text FROM v_line")
 add("dominant_span", lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", "line", "dominant.font", "dominant.size"), f"{LINES} SELECT tag, page, line, dominant.font AS font, dominant.size AS size FROM v_line")
 add("heading_line", lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", "line", "heading_line"), f"{LINES} SELECT tag, page, line, heading_share >= 0.8 AS heading_line FROM v_line")
 add("formula_like", lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", "line", "is_formula"), f"{LINES} SELECT tag, page, line, {FORMULA('text')} AS is_formula FROM v_line")
 BLOCKS = f"""{LINES}, l2 AS (SELECT *, min(x0) OVER b AS l, max(x1) OVER b AS r FROM v_line WINDOW b AS (PARTITION BY tag, page, block)),
-j AS (SELECT tag, page, block, bool_or(jump) AS jump, arg_max({{'font': font, 'size': size}}, (length(text), -line, -span)) AS dominant FROM (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY tag, page, block, line ORDER BY span) > 24, false) AND {NUM('text')} AS jump FROM v_spans) GROUP BY tag, page, block),
+j AS (SELECT tag, page, block, bool_or(jump) AS jump, arg_max({{'font': font, 'size': size}}, (length(text), -line, -span)) AS dominant FROM (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY tag, page, block, line ORDER BY span) > 24, false) AND {NUM("trim(text, ' ')")} AS jump FROM v_spans) GROUP BY tag, page, block),
 v_block AS (SELECT *, n >= 6 AND x1 - x0 >= 200 AND page_numbers >= 3 AS toc_block, far OR jump OR numbers >= 2 AS table_row_block FROM (
   SELECT tag, page, block, string_agg(text, chr(10) ORDER BY line) AS text, count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1,
     count(*) FILTER (regexp_matches(text, '(?i)^[ivxlcdm0-9]{{1,4}}$') AND x0 > l + 0.72 * (r - l)) AS page_numbers, count(*) FILTER ({NUM('text')}) AS numbers, bool_or({NUM('text')} AND x0 > l + 60) AS far
@@ -51,12 +52,11 @@ blocks = lambda s, d: layout.block_features(views.spans(s, d))
 add("block_text", lambda s, d: blocks(s, d).select("tag", "page", "block", "text", "lines"), f"{BLOCKS} SELECT tag, page, block, text, n AS lines FROM v_block")
 add("toc_block", lambda s, d: blocks(s, d).select("tag", "page", "block", "toc_block"), f"{BLOCKS} SELECT tag, page, block, toc_block FROM v_block")
 add("table_row_block", lambda s, d: blocks(s, d).select("tag", "page", "block", "table_row_block"), f"{BLOCKS} SELECT tag, page, block, table_row_block FROM v_block")
-BODY = "v_body AS (SELECT tag, page, median(size) AS body FROM (SELECT tag, page, size, unnest(range(length(text))) FROM v_spans) GROUP BY tag, page)"
 add("body_size", lambda s, d: layout.body_size(views.spans(s, d)), f"+ {BODY} SELECT tag, page, body FROM v_body")
 add(
     "prose_block",
     lambda s, d: layout.prose_blocks(views.spans(s, d)),
-    f"""{BLOCKS}, {BODY} SELECT tag, page, block, length(text) >= 25 AND NOT {FEATURES['is_copyright']} AND NOT {FORMULA('text')} AND NOT toc_block AND NOT table_row_block
+    f"""{BLOCKS} SELECT tag, page, block, length(text) >= 25 AND NOT {FEATURES['is_copyright']} AND NOT {FORMULA('text')} AND NOT toc_block AND NOT table_row_block
   AND NOT regexp_matches(lower(dominant.font), 'bold|black|cond|italic|courier|mono|consol') AND dominant.size >= 8.5 AND dominant.size <= body * 1.12
   AND {COUNT('text', '[\\p{L}]')} / greatest(length(text), 1) >= 0.55 AND {COUNT('text', '[A-Za-z]{2,}')} >= 5 AS prose FROM v_block JOIN v_body USING (tag, page)""",
 )

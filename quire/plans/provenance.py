@@ -70,7 +70,7 @@ pairs = lambda s, d: views.issues(s, d).filter("page % 4 <> 1").groupBy("tag", "
 add(
     "stale_reviews",
     lambda s, d: provenance.stale_reviews(when(s, d), pairs(s, d), verdicts(s, d).filter("page % 6 <> 2")),
-    "SELECT tag, page, why FROM (SELECT DISTINCT tag, page, CASE WHEN page % 4 = 1 THEN 'no image' WHEN page % 3 = 2 THEN 'old image' WHEN page % 6 = 2 OR page % 11 = 3 THEN 'no verdict' END AS why FROM v_issues) WHERE why IS NOT NULL",
+    "SELECT tag, page, why FROM (SELECT DISTINCT tag, page, CASE WHEN page % 4 = 1 THEN 'no image' WHEN page % 3 = 2 THEN 'old image' WHEN page % 6 = 2 OR page % 11 IN (3, 4) THEN 'no verdict' END AS why FROM v_issues) WHERE why IS NOT NULL",
 )
 
 
@@ -87,7 +87,7 @@ add(
     lambda s, d: neighbours(s, d).select("tag", "page", "line", provenance.same_slot(F.col("a"), F.col("b")).alias("same")),
     f"""{LINES}, p AS (SELECT a.tag, a.page, a.line, a.x0, a.x1, a.y0, a.y1, b.x0 AS u0, b.x1 AS u1, b.y0 - 54 AS v0, b.y1 - 54 AS v1 FROM v_line a JOIN v_line b ON a.tag = b.tag AND a.page = b.page AND b.line = a.line + 4)
 SELECT tag, page, line, greatest(least(x1, u1) - greatest(x0, u0), 0) / least(x1 - x0, u1 - u0) >= 0.9 AND greatest(least(y1, v1) - greatest(y0, v0), 0) / least(y1 - y0, v1 - v0) >= 0.65
-  AND greatest(x1 - x0, u1 - u0) / least(x1 - x0, u1 - u0) <= 1.35 AND greatest(y1 - y0, v1 - v0) / least(y1 - y0, v1 - v0) <= 1.6 AND abs(x0 + x1 - u0 - u1) / 2 <= 20 AND abs(y0 + y1 - v0 - v1) / 2 <= 3 AS same FROM p""",
+  AND greatest(x1 - x0, u1 - u0) / least(x1 - x0, u1 - u0) <= 1.35 AND greatest(y1 - y0, v1 - v0) / least(y1 - y0, v1 - v0) <= 1.6 AND abs(x0 + x1 - u0 - u1) / 2 <= 3 AND abs(y0 + y1 - v0 - v1) / 2 <= 20 AS same FROM p""",
 )
 
 
@@ -121,7 +121,7 @@ SELECT tag, page, block, run, min(line) AS first, count(*) AS lines FROM i WHERE
 add(
     "unit_context",
     lambda s, d: provenance.unit_context(views.work_units(s, d)),
-    "+ p AS (SELECT tag, idx, page, min(pos) AS at_ FROM v_units GROUP BY ALL), q AS (SELECT tag, idx, string_agg(page::VARCHAR, ',' ORDER BY at_) AS pages FROM p GROUP BY tag, idx), c AS (SELECT tag, idx, string_agg(id || ': ' || left(previous_tail, 40), chr(10) ORDER BY pos) AS context FROM v_units WHERE pos < 6 GROUP BY tag, idx) SELECT tag, idx, pages, context FROM q JOIN c USING (tag, idx)",
+    "+ p AS (SELECT tag, idx, page, min(pos) AS at_ FROM v_units GROUP BY ALL), q AS (SELECT tag, idx, string_agg(page::VARCHAR, ',' ORDER BY at_) AS pages FROM p GROUP BY tag, idx), c AS (SELECT tag, idx, string_agg(id || ': ' || previous_tail, chr(10) ORDER BY pos) AS context FROM v_units WHERE pos < 6 GROUP BY tag, idx) SELECT tag, idx, pages, context FROM q JOIN c USING (tag, idx)",
 )
 STATES, KINDS = ("pending", "running", "completed", "failed"), ("layout", "translation")
 

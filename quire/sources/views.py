@@ -134,14 +134,15 @@ v_accepted AS (SELECT DISTINCT tag, page FROM v_issues WHERE page % 9 = 0)
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One span for each word of a segment, laid out in a fixed pitch; four lines make a block."""
-    words = segments(spark, sf_dir).select("tag", "seq", "page", "n", F.posexplode(F.split("text", " ")).alias("span", "text"))
+    """One span for each word of a segment with the blank after it, laid out in a fixed pitch; four lines make a block."""
+    words = segments(spark, sf_dir).select("tag", "seq", "page", "n", F.size(F.split("text", " ")).alias("parts"), F.posexplode(F.split("text", " ")).alias("span", "text"))
     before = Window.partitionBy("tag", "seq").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     words = words.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(F.col("text") != "")
     top = 60.0 + 14.0 * (F.col("n") % 50)
     size = F.when(F.col("text").rlike("[0-9]$"), 7.0).when(F.col("n") == 0, 13.0).otherwise(10.0)
+    said = F.when(F.col("span") < F.col("parts") - 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
     return words.select(
-        "tag", "page", F.floor(F.col("n") / 4).alias("block"), F.col("n").alias("line"), F.col("span").cast("bigint").alias("span"), "text",
+        "tag", "page", F.floor(F.col("n") / 4).alias("block"), F.col("n").alias("line"), F.col("span").cast("bigint").alias("span"), said.alias("text"),
         (72.0 + 5.0 * F.col("at")).alias("x0"), top.alias("y0"), (72.0 + 5.0 * (F.col("at") + F.length("text"))).alias("x1"), (top + 10.0).alias("y1"),
         size.alias("size"), F.when(digit("text") == "0", "Body-Bold").when(digit("text") == "1", "Mono").otherwise("Body").alias("font"),
         F.when(digit("text") == "2", 1).when(digit("text") == "3", 16).otherwise(0).cast("bigint").alias("flags"),
@@ -149,10 +150,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = SQL.rstrip() + """,
-v_words AS (SELECT tag, seq, page, n, i - 1 AS span, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS parts FROM v_segments))),
+v_words AS (SELECT tag, seq, page, n, i - 1 AS span, parts[i] AS text, CASE WHEN i < len(parts) THEN ' ' ELSE '' END AS blank FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS parts FROM v_segments))),
 v_placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY tag, seq ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM v_words),
 v_spans AS (
-  SELECT tag, page, n // 4 AS block, n AS line, span, text, 72.0::DOUBLE + 5 * shift AS x0, 60.0::DOUBLE + 14 * (n % 50) AS y0, 72.0::DOUBLE + 5 * (shift + length(text)) AS x1,
+  SELECT tag, page, n // 4 AS block, n AS line, span, text || blank AS text, 72.0::DOUBLE + 5 * shift AS x0, 60.0::DOUBLE + 14 * (n % 50) AS y0, 72.0::DOUBLE + 5 * (shift + length(text)) AS x1,
     70.0::DOUBLE + 14 * (n % 50) AS y1, CASE WHEN regexp_matches(text, '[0-9]$') THEN 7.0 WHEN n = 0 THEN 13.0 ELSE 10.0 END::DOUBLE AS size,
     CASE substr(md5(text), 1, 1) WHEN '0' THEN 'Body-Bold' WHEN '1' THEN 'Mono' ELSE 'Body' END AS font,
     CASE substr(md5(text), 1, 1) WHEN '2' THEN 1 WHEN '3' THEN 16 ELSE 0 END::BIGINT AS flags
