@@ -6,7 +6,7 @@ import functools
 import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,51 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder:
+class Remembered:
+    """Ids of words that were met before, by the hash of the word."""
+
+    def clear(self) -> None:
+        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.put(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def put(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def name(self, keys: np.ndarray, at: np.ndarray) -> None:
+        """New keys, in ascending order, for the ids at these places."""
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rank = np.insert(self.keys, place, keys), np.insert(self.rank, place, at)
+
+    def unmet(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+
+    def look_up(self, keys: np.ndarray, learn: Callable[[np.ndarray, np.ndarray], None], most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each); ``learn`` takes new keys and where each stands among ``keys``."""
+        if not len(keys):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        key = keys[order]
+        head = np.insert(key[1:] != key[:-1], 0, True)
+        key, first, which = key[head], order[head], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(head) - 1
+        new = self.unmet(key)
+        if len(self.keys) + int(new.sum()) > most:
+            self.clear()
+            new[:] = True
+        if new.any():
+            learn(key[new], first[new])
+        at = self.rank[np.searchsorted(self.keys, key)][which]
+        return self.flat[spread(self.starts[at], self.sizes[at])], self.sizes[at]
+
+
+class WordEncoder(Remembered):
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -50,8 +94,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        super().clear()
         self.parts: dict[str, int] = {}
 
     def cut_up(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +111,6 @@ class WordEncoder:
         ends = np.cumsum(sizes)[which == known["\n"]] if parts else sizes
         return self.flat[spread(self.starts[which], sizes)], np.diff(ends, prepend=0)
 
-    def add(self, found: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.put(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
-
-    def put(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
-
     def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """New words, in ascending order of their hashes."""
         rare = np.concatenate(([0], np.cumsum((data >= 128) | (data == 60))))
@@ -92,31 +127,10 @@ class WordEncoder:
         at = np.empty(len(keys), np.int64)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         at[order] = np.arange(len(keys)) + len(self.sizes) - len(keys)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.rank = np.insert(self.keys, place, keys), np.insert(self.rank, place, at)
-
-    def unknown(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        self.name(keys, at)
 
     def ids_of(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words of a chunk, number of ids of each word)."""
-        if not len(w.hashes):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        order = np.argsort(w.hashes)
-        key = w.hashes[order]
-        head = np.insert(key[1:] != key[:-1], 0, True)
-        key, first, which = key[head], order[head], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(head) - 1
-        new = self.unknown(key)
-        if len(self.keys) + int(new.sum()) > WORDS:
-            self.clear()
-            new[:] = True
-        if new.any():
-            self.learn(key[new], w.data, w.starts[first[new]], w.ends[first[new]])
-        at = self.rank[np.searchsorted(self.keys, key)][which]
-        return self.flat[spread(self.starts[at], self.sizes[at])], self.sizes[at]
+        return self.look_up(w.hashes, lambda keys, at: self.learn(keys, w.data, w.starts[at], w.ends[at]), WORDS)
 
     def encode(self, texts: pa.Array | list[str | None], end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids of some texts in a row, ids of each text); every text ends with ``end``; null is empty."""

@@ -22,6 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
+_SAME = _LOWER.copy()
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
@@ -38,7 +39,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Words:
     """Words of some texts: hash, number of the text in the batch, number of the line counted over the chunk, the
-    number of the first line of each text that the chunk holds, and where each word stands in the chunk's bytes."""
+    number of the first line of each text that the chunk holds, where each word stands in the chunk's bytes, where each
+    text begins there, and whether the last one goes on."""
 
     hashes: np.ndarray
     text: np.ndarray
@@ -50,10 +52,11 @@ class Words:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    begins: np.ndarray
     unfinished: bool
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
     out = np.zeros(len(starts), _U)
     step = 1 << 16  # sums over parts of 64 KiB keep the tables of powers small
     up, down = _powers(step + 1)
@@ -62,7 +65,7 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for at in range(0, len(data), step):
         part = data[at : at + step]
         sums = np.zeros(len(part) + 1, _U)
-        np.cumsum((_LOWER[part].astype(_U) + _U(1)) * up[: len(part)], out=sums[1:])
+        np.cumsum((letters[part].astype(_U) + _U(1)) * up[: len(part)], out=sums[1:])
         a, b = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part), "left")
         s, e = np.clip(starts[a:b] - at, 0, len(part)), np.clip(ends[a:b] - at, 0, len(part))
         inside = np.maximum(at - starts[a:b], 0)  # a word may begin in an earlier part
@@ -73,8 +76,9 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(out + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def scan(column: pa.Array, cut_at: bytes = b" \t\n\r\x0b\x0c", chunk: int = CHUNK) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, some texts at a time and in order; null counts as empty.
+def scan(column: pa.Array, cut_at: bytes = b" \t\n\r\x0b\x0c", chunk: int = CHUNK, blank_only: bool = False) -> Iterator[Words]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, or with ``blank_only`` words ``[^\\x20]+`` as they are, some
+    texts at a time and in order; null counts as empty.
 
     A text that doesn't fit into a chunk is continued in the next one, cut where ``cut_at`` allows; its words then
     come in several parts with the same text number."""
@@ -101,7 +105,7 @@ def scan(column: pa.Array, cut_at: bytes = b" \t\n\r\x0b\x0c", chunk: int = CHUN
             last = text + 1
         data = whole[at:stop]
         begins = np.maximum(offsets[text:last] - at, 0)
-        letter = ~_SPACE[data]
+        letter = data != 32 if blank_only else ~_SPACE[data]
         new = letter.copy()
         new[1:] &= ~letter[:-1]
         heads = begins[begins < len(data)]
@@ -118,6 +122,6 @@ def scan(column: pa.Array, cut_at: bytes = b" \t\n\r\x0b\x0c", chunk: int = CHUN
         owner = np.searchsorted(begins, starts, "right") - 1
         extra = np.cumsum(np.concatenate(([0], (np.diff(np.append(begins, len(data))) == 0)[:-1]))) if len(begins) else begins
         first = line[np.minimum(begins, len(data))] + extra
-        yield Words(_hash(data, starts, ends), text + owner, line[starts] + extra[owner], text, last - text, first, int(line[-1]) + 1 + int(extra[-1]) if len(begins) else 0, data, starts, ends, bool(stop < offsets[last]))
+        yield Words(_hash(data, starts, ends, _SAME if blank_only else _LOWER), text + owner, line[starts] + extra[owner], text, last - text, first, int(line[-1]) + 1 + int(extra[-1]) if len(begins) else 0, data, starts, ends, begins, bool(stop < offsets[last]))
         at = stop
         text = last if stop >= offsets[last] else text

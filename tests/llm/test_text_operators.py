@@ -283,23 +283,34 @@ def test_grammar_expands_to_what_it_was_made_of():
     assert len(seq) < len(ids) / 3
 
 
-def test_sentencepiece_is_the_librarys(texts):
+def test_sentencepiece_is_the_librarys(texts, monkeypatch):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
 
     model = spm.Pieces(spm.default_path())
     own = sentencepiece.SentencePieceProcessor(model_file=spm.default_path())
     rows = [t for t in texts.values() if t][:80] + ["", " ", "  a  b", "\t☃ é　x ﬁ", "x" * 300, "a\nb", "日本語 text"]
+    rng = random.Random(9)
+    rows += ["".join(rng.choice("ab  \n\té☃XY1.") for _ in range(rng.randrange(60))) for _ in range(300)]
     for t in rows:
         assert model.encode(t) == own.encode(t)
         assert model.decode(model.encode(t)) == t
+    for chunk in (words.CHUNK, 50):
+        monkeypatch.setattr(words.scan, "__defaults__", (words.scan.__defaults__[0], chunk, False))
+        ids, sizes = model.encode_all(pa.array([*rows, None, "a \u2581 b", "\u2581", "x" * 300_000]))
+        found = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert found[: len(rows)] == [own.encode(t) for t in rows] and found[len(rows)] == []
+        assert found[len(rows) + 1 : -1] == [own.encode("a \u2581 b"), own.encode("\u2581")] and len(found[-1]) > 1000
+        data, lengths = model.bytes_of(ids, sizes)
+        said = [x.tobytes().decode()[1:] for x in np.split(data, np.cumsum(lengths)[:-1])]
+        assert said[: len(rows)] == rows and said[-1] == "x" * 300_000
     proto = sentencepiece_model_pb2.ModelProto()
     with open(spm.default_path(), "rb") as f:
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
     unigram = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     model.merges = False
-    model.known.clear()
+    model.clear()
     score = lambda ids: sum(proto.pieces[i].score for i in ids)
     for w in sorted({w for t in rows for w in t.split()})[:800]:
         assert score(model.encode(w)) == score(unigram.encode(w))  # ties may be cut differently
