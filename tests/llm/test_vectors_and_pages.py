@@ -159,3 +159,17 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_pages_of_any_shape_are_read_in_one_pass():
+    """Half-open tags, unclosed quotes and deep nesting cost no more than their length."""
+    import time
+
+    began = time.process_time()
+    for page in ("<a " * 300_000, '<a "' * 300_000 + ">", "<div>" * 100_000 + "x" + "</p></div>" * 100_000, "<article>" * 50_000, "<p class='" * 200_000, "<" * 500_000):
+        pages_.blocks(page)
+    assert time.process_time() - began < 20
+    say = lambda body: "\n".join(pages_.blocks(f"<html><body><article><p>Main.</p>{body}</article></body></html>")[0])
+    assert say("<div class='article-share'>Share it</div><div class='newsletter-body'>Sign up</div>") == "Main."
+    assert say("<section id='search-engines'><p>How they work.</p></section>") == "Main.\nHow they work."
+    assert say("<div class='search-form'>Find</div><p title='a > b'>More</p><p>1 < 2 & 3</p>") == "Main.\nMore\n1 < 2 & 3"
