@@ -20,9 +20,9 @@ VALUES, SHARED = 256, 176
 #: hold on average at most, and documents of a node that are compared one by one.
 TREES, BRANCHES, USUAL, SMALL = 4, 2, 2, 96
 #: Nodes of the first counted level from which on all documents are compared with the PIVOTS central ones, and the minwise
-#: values that say which are central; documents outside a node's largest component that are compared with all of it; levels
-#: after which large nodes are compared in blocks.
-HUB, PIVOTS, CENTRAL, FEW, DEPTH = 256, 4, 32, 1024, 6
+#: values that say which are central; documents outside a node's largest component that are compared with all of it, so many
+#: at once; levels after which large nodes are compared in blocks.
+HUB, PIVOTS, CENTRAL, FEW, BLOCK, DEPTH = 256, 4, 32, 1024, 384, 6
 #: The last minwise values travel with the documents of small nodes.  Rounds of comparison: of these, values that a
 #: pair must share (at similarity 0.8 it shares 51 on average and fewer than 36 once in 300,000), and partners that a
 #: document is tied to in a node.
@@ -216,7 +216,11 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             good = np.count_nonzero(values(batch.column("sa")) == values(batch.column("sb")), axis=1) >= SHARED
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = ids.limit(SENT_BYTES // VALUES + 1).count() <= SENT_BYTES // VALUES  # of a hot group come few values and many pairs
+    held = F.broadcast(classes.join(F.broadcast(ids), "id", "left_semi")) if few else classes
+    side = lambda c: held.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    side = (lambda c, whole=side: F.broadcast(whole(c))) if few else side
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -336,7 +340,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("all"))
         large = scratch.keep(narrowed(large, scratch.keep(main, f"main-{level}"), "node", "inner"), f"split-{level}")
         # one component and few others: each of the others meets all of it, a block at a time
-        few = large.filter(F.col("others") <= FEW).withColumn("blocks", F.ceil(F.col("all") / SMALL))
+        few = large.filter(F.col("others") <= FEW).withColumn("blocks", F.ceil(F.col("all") / BLOCK))
         own = F.array(F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
         met = few.withColumn("b", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         leaves.append(met.select(F.xxhash64("node", F.lit(level), "b").alias("node"), "id"))
