@@ -30,7 +30,7 @@ SHORT, ROUNDS = 64, ((50, 2), (43, 16), (36, None))
 #: Numbers that are sent to all tasks at most; more are joined by shuffle.
 SENT = 1_000_000
 #: Bytes of full sets that are sent to all tasks at most.
-SENT_BYTES = 24_000_000
+SENT_BYTES = 12_000_000
 
 _U = np.uint64
 
@@ -316,6 +316,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             sets = more if sets is None else sets.union(more)
         found = confirmed(pairs, sets, percent)
         comps = components(found.union(comps.toDF("a", "b")), scratch, f"comp-{rounds}")
+        scratch.release()
 
     hubs = enter(classes, 1, levels).groupBy("node").count().filter(F.col("count") > HUB).select("node")
     hubs = scratch.keep(hubs, "hubs")
