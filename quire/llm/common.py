@@ -44,11 +44,6 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(conf).delete(path, True)
 
-    def release(self) -> None:
-        """What ended joins sent to all executors leaves them, as do their shuffle files: the driver drops both once its
-        collector has found them unused, which without need can take it longer than the whole job."""
-        self.spark._jvm.System.gc()
-
 
 def free_name(names: list[str]) -> str:
     """A column name that isn't taken, whatever its case."""
