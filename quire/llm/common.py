@@ -28,14 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one operator, written once so that lost executors never replay what lies before."""
+    """Intermediate tables of one operator, written once so that lost executors never replay what lies before.  With
+    ``rows``, Python workers are sent at most so many rows at once while a table is written."""
 
-    def __init__(self, spark: SparkSession, owner: str):
+    def __init__(self, spark: SparkSession, owner: str, rows: int | None = None):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
+        self.rows = rows
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        if self.rows:
+            self.spark.conf.set(setting, str(self.rows))
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -29,6 +29,8 @@ HUB, PIVOTS, CENTRAL, FEW, BLOCK, DEPTH = 256, 4, 32, 1024, 384, 6
 SHORT, ROUNDS = 64, ((50, 2), (43, 16), (36, None))
 #: Numbers that are sent to all tasks at most; more are joined by shuffle.
 SENT = 1_000_000
+#: Rows that a Python worker is sent at once, as texts and sets may be long; rows of small nodes that are compared at once.
+SENT_ROWS, COMPARED = 1024, 10_000
 #: Bytes of full sets that are sent to all tasks at most.
 SENT_BYTES = 24_000_000
 
@@ -136,6 +138,8 @@ def near_pairs(rows: DataFrame, percent: int, shared: int, partners: int | None)
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
+            if sum(b.num_rows for b in held) < COMPARED:
+                continue
             node = pa.Table.from_batches(held)["node"].to_numpy()
             last = int(np.searchsorted(node, node[-1])) if len(node) else 0
             if not last:
@@ -285,7 +289,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     kept if their id is the least; rows of one id with different texts are linked through that id only in
     ``component_id``'s order, not as documents.  An empty table gives no rows."""
     spark = docs.sparkSession
-    scratch = common.Scratch(spark, "near")
+    scratch = common.Scratch(spark, "near", SENT_ROWS)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = scratch.keep(sketches(docs, size), "sketches")
     held = all_.filter("n > 0 AND doc_id IS NOT NULL")
