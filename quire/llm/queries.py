@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, convrepair, html, linededup, lm, minhash, packing, quality, repair, spm, topk
+from quire.llm import align, ann, convrepair, html, linededup, lm, minhash, packing, quality, repair, spm, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_pitman_yor": lm.op9_pitman_yor,
     "op10_repair_ids": repair.op10_repair_ids,
+    "op11_token_alignment": align.op11_token_alignment,
     "op13_conversation_repair": convrepair.op13_conversation_repair,
 }
 SQL: dict[str, str] = {
