@@ -160,3 +160,39 @@ v_spans AS (
   FROM v_placed WHERE text <> ''
 )
 """
+
+#: Pages as they are printed, from ``v_spans``: pages of bullets and labels, pages of tables, whose cells are lines of
+#: their own, and pages of text with label rows, split first lines, formulas and maths between words.  Both engines
+#: read these expressions.
+_HEX = "substr(md5(concat({})), 1, 1)"
+_NAMED = {
+    "ph": _HEX.format("tag, '/', cast(page AS string)"), "lh": _HEX.format("tag, '/', cast(page AS string), '/', cast(line AS string)"),
+    "bh": _HEX.format("tag, '/', cast(page AS string), '#', cast(block AS string)"), "sh": _HEX.format("trim(text)"),
+}
+_KINDS = {"kind": "CASE WHEN ph < '6' THEN 'b' WHEN ph IN ('8', '9') THEN 't' ELSE 'p' END", "step": "ph >= '6' AND ph NOT IN ('8', '9') AND bh < '2'", "split": "ph >= '6' AND ph NOT IN ('8', '9') AND bh IN ('2', '3', '4')"}
+_KEPT = "CASE WHEN kind = 't' THEN span < CASE WHEN lh < '2' THEN 2 ELSE 3 END WHEN step AND line % 2 = 0 THEN span = 0 WHEN split THEN line % 4 = 0 AND span < 2 WHEN lh = 'e' THEN span = 0 ELSE true END"
+_SHIFT = "CASE WHEN step AND line % 2 = 1 THEN 120.0 ELSE 0.0 END"
+_TOP = "CASE WHEN step AND line % 2 = 1 THEN y0 - 12.0 WHEN split THEN 61.0 + 14.0 * ((line + 4) % 50) ELSE y0 END"
+_MARKED = {
+    "tag": "tag", "page": "page", "block": "block", "line": "CASE WHEN kind = 't' THEN line * 16 + span ELSE line END", "span": "CASE WHEN kind = 't' THEN 0 ELSE span END",
+    "text": "CASE WHEN kind = 't' THEN text WHEN step AND line % 2 = 0 THEN concat('Step ', cast(line AS string)) WHEN split THEN text WHEN lh = 'e' THEN 'PV = 3 + 4' WHEN kind = 'b' AND span = 0 AND lh < '6' THEN '■ ' WHEN span = 0 AND lh = '6' THEN 'A. ' WHEN sh = '2' THEN '12' WHEN sh = '4' THEN 'σ² ' WHEN sh = '5' THEN 'x ' ELSE text END",
+    "x0": f"CASE WHEN kind = 't' THEN 72.0 + 150.0 * span ELSE x0 + {_SHIFT} END", "y0": _TOP,
+    "x1": f"CASE WHEN kind = 't' THEN 112.0 + 150.0 * span WHEN step AND line % 2 = 0 THEN 97.0 ELSE x1 + {_SHIFT} END", "y1": f"{_TOP} + 10.0", "size": "size",
+    "font": "CASE WHEN kind <> 't' AND (lh = 'd' OR (span = 0 AND lh = '6') OR (step AND line % 2 = 0) OR split) THEN 'Body-Bold' WHEN lh = '6' THEN 'Body' ELSE font END", "flags": "flags",
+}
+_CASTS = dict.fromkeys(("line", "span"), "bigint") | dict.fromkeys(("x0", "y0", "x1", "y1"), "double")
+
+
+def marked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans(spark, sf_dir)
+    for columns in (_NAMED, _KINDS):
+        rows = rows.withColumns({name: F.expr(e) for name, e in columns.items()})
+    rows = rows.filter(_KEPT)
+    return rows.select(*[F.expr(f"cast({e} AS {_CASTS[name]})" if name in _CASTS else e).alias(name) for name, e in _MARKED.items()])
+
+
+#: For queries that read ``v_marked``, behind the other views.
+MARKED_SQL = f"""
+v_named AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _KINDS.items())} FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _NAMED.items())} FROM v_spans)),
+v_marked AS (SELECT {', '.join((f'cast({e} AS {_CASTS[n]})' if n in _CASTS else e) + f' AS {n}' for n, e in _MARKED.items())} FROM v_named WHERE {_KEPT})
+"""
