@@ -187,7 +187,7 @@ def marked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(spark, sf_dir)
     for columns in (_NAMED, _KINDS):
         rows = rows.withColumns({name: F.expr(e) for name, e in columns.items()})
-    rows = rows.filter(_KEPT)
+    rows = rows.repartition("tag", "page").filter(_KEPT)
     return rows.select(*[F.expr(f"cast({e} AS {_CASTS[name]})" if name in _CASTS else e).alias(name) for name, e in _MARKED.items()])
 
 
