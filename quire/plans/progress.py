@@ -60,7 +60,7 @@ add("src_run_log_tail", lambda s, d: progress.log_tail(run_log(s, d), 20).select
 add("log_runs", lambda s, d: runs(s, d).fillna({"rc": -1}), f"{LOG} SELECT tag, run, sid, lines, coalesce(rc, -1) AS rc, first FROM v_runs", plain=True)
 add("unit_attempts", lambda s, d: progress.unit_attempts(run_log(s, d)), f"{LOG} SELECT tag, 'c_' || u AS unit, max(CASE e WHEN 'view' THEN 2 ELSE 1 END)::BIGINT AS attempts, bool_or(e = 'click') AS ok FROM v_log WHERE e IN ('click', 'view') GROUP BY tag, u", plain=True)
 add("run_outcome", lambda s, d: progress.run_outcome(runs(s, d)), f"{LOG} SELECT * FROM v_outcome", plain=True)
-add("stream_early_exit", lambda s, d: progress.early_exits(runs(s, d)), f"{LOG}, b AS (SELECT *, sum((rc <> 0)::INT) OVER (PARTITION BY tag ORDER BY run) AS broken FROM v_runs WHERE rc IS NOT NULL), i AS (SELECT tag, broken, count(*) FILTER (rc = 0) AS clean FROM b GROUP BY tag, broken) SELECT tag, arg_max(clean, broken) AS clean, arg_max(clean, broken) BETWEEN 1 AND 2 AS resume FROM i GROUP BY tag", plain=True)
+add("early_exits", lambda s, d: progress.early_exits(runs(s, d)), f"{LOG}, b AS (SELECT *, sum((rc <> 0)::INT) OVER (PARTITION BY tag ORDER BY run) AS broken FROM v_runs WHERE rc IS NOT NULL), i AS (SELECT tag, broken, count(*) FILTER (rc = 0) AS clean FROM b GROUP BY tag, broken) SELECT tag, arg_max(clean, broken) AS clean, arg_max(clean, broken) BETWEEN 1 AND 2 AS resume FROM i GROUP BY tag", plain=True)
 
 
 def users(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -37,6 +37,43 @@ def fresh_outputs(s: SparkSession, d: str) -> DataFrame:
     return jobs.to_table(kept.select("tag", "idx"), f"{root}/out", f"{root}/checkpoint")
 
 
+def rejected_outputs(s: SparkSession, d: str) -> DataFrame:
+    stream, root = arrived(s, stamped(s, d), "stamped")
+    _, rejected = jobs.split_by_generation(stream, scratch.keep(units.chunk_gen(views.work_units(s, d)), "generations"), f"{root}/out", f"{root}/checkpoint")
+    return rejected.select("tag", "idx", "stamp")
+
+
+def repair_events(s: SparkSession, d: str) -> DataFrame:
+    """Requests of 50 users each hundred events, a second for each event id."""
+    kinds = {"signup": "running", "view": "attached", "click": "completed", "purchase": "failed", "error": "superseded"}
+    event = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()])
+    e = F.col("event_id")
+    return views.table(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("tag"), F.floor(e / 1000).alias("id"), e.alias("seq"), F.timestamp_seconds(e).alias("at"), event.alias("event"), F.when(event == "attached", F.concat(F.lit("r"), e.cast("string"))).alias("run_sid"), F.when(event == "failed", "broken").alias("error"))
+
+
+def live_repairs(s: SparkSession, d: str) -> DataFrame:
+    rows = repair_events(s, d)
+    root = scratch.folder(s, "repairs")
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    changes = jobs.repair_states(jobs.read_outputs(s, f"{root}/in", rows.schema), 60_000, "3650 days")
+    return jobs.latest_repairs(jobs.to_table(changes, f"{root}/out", f"{root}/checkpoint"))
+
+
+def exit_events(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("event_type")
+    return views.table(s, d, "events").select(
+        F.concat(F.lit("u"), F.floor(F.col("user_id") / 4).cast("string")).alias("tag"), F.col("event_id").alias("seq"), F.when(t == "signup", "start").when((t == "purchase") & (F.col("event_id") % 5 == 0), "stop").otherwise("exit").alias("event"),
+        F.when(t == "error", 1).otherwise(0).cast("bigint").alias("rc"), (F.col("event_id") % 7 == 0).alias("over"),
+    )
+
+
+def live_exits(s: SparkSession, d: str) -> DataFrame:
+    rows = exit_events(s, d)
+    root = scratch.folder(s, "exits")
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    return jobs.to_table(jobs.early_exits(jobs.read_outputs(s, f"{root}/in", rows.schema)), f"{root}/out", f"{root}/checkpoint")
+
+
 def live_progress(s: SparkSession, d: str) -> DataFrame:
     done = units.unit_valid(views.work_units(s, d), views.outputs(s, d)).select("tag", F.col("valid").alias("done"))
     stream, root = arrived(s, done, "progress")
@@ -65,6 +102,29 @@ def stored(s: SparkSession, d: str) -> DataFrame:
 add("sink_tm", stored, "SELECT tag, text, vi FROM v_memory")
 add("stream_outputs_to_tm", outputs_to_memory, SQL["merge_translations"], plain=True)
 add("stream_generation_filter", fresh_outputs, "SELECT tag, idx FROM v_outputs WHERE substr(md5(idx || tag), 1, 1) < 'c'")
+add("stream_generation_rejects", rejected_outputs, "SELECT tag, idx, 'old' AS stamp FROM v_outputs WHERE substr(md5(idx || tag), 1, 1) >= 'c'")
+add(
+    "stream_repair_state",
+    live_repairs,
+    """WITH e AS (SELECT 'u' || (user_id % 50) AS tag, event_id // 1000 AS id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'running' WHEN 'view' THEN 'attached' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'failed' WHEN 'error' THEN 'superseded' END AS event FROM events),
+o AS (SELECT * FROM e JOIN (SELECT tag, id, min(seq) AS begun FROM e WHERE event = 'running' GROUP BY ALL) USING (tag, id) WHERE seq >= begun),
+g AS (SELECT *, coalesce(bool_or(event = 'attached') OVER (PARTITION BY tag, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held, coalesce(seq - lag(seq) OVER (PARTITION BY tag, id ORDER BY seq) > 60, false) AS idle FROM o),
+f AS (SELECT *, CASE WHEN idle AND NOT held THEN 'idle' WHEN event IN ('completed', 'failed') THEN event WHEN event = 'superseded' AND NOT held THEN event END AS how FROM g),
+h AS (SELECT tag, id, arg_min(how, seq) FILTER (how IS NOT NULL) AS how, arg_max('r' || seq, seq) FILTER (event = 'attached') AS run_sid FROM f GROUP BY ALL)
+SELECT tag, id, CASE WHEN how IS NULL THEN 'running' WHEN how = 'completed' THEN how ELSE 'failed' END AS status, run_sid,
+  CASE how WHEN 'failed' THEN 'broken' WHEN 'completed' THEN NULL ELSE how END AS error FROM h""",
+    plain=True,
+)
+add(
+    "stream_early_exit",
+    live_exits,
+    """WITH e AS (SELECT 'u' || (user_id // 4) AS tag, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'stop' ELSE 'exit' END AS event, event_type = 'error' AS failed, event_id % 7 = 0 AS over_ FROM events),
+i AS (SELECT *, count(*) FILTER (event <> 'exit') OVER (PARTITION BY tag ORDER BY seq) AS island FROM e),
+s AS (SELECT *, bool_or(event = 'stop') OVER (PARTITION BY tag, island) AS stopped FROM i),
+c AS (SELECT *, row_number() OVER (PARTITION BY tag, island ORDER BY seq) AS k FROM s WHERE event = 'exit' AND NOT failed AND NOT over_)
+SELECT tag, seq, CASE WHEN stopped THEN 3 ELSE least(k, 3) END AS clean, NOT stopped AND k <= 3 AS resume FROM c""",
+    plain=True,
+)
 add("stream_progress", live_progress, f"{VALID} SELECT tag, count(*) FILTER (valid) AS done, count(*) AS total FROM v_valid GROUP BY tag")
 add(
     "stream_event_dedupe",
