@@ -12,6 +12,9 @@ from quire.functions import documents
 STALE = {"source": ["layout", "chunks", "memory", "report", "verdicts"], "translation": ["chunks", "report"]}
 REDO = {"translate": ["out", "vout", "stamps", "verdicts"], "verify": ["vout", "stamps", "verdicts"], "vision": ["verdicts"]}
 
+# What stands before a line of a unit's context.
+BEFORE, AFTER = "Trước: ", "Sau: "
+
 
 def invalidation(old: DataFrame, new: DataFrame) -> DataFrame:
     """What each volume loses: all that hangs on its source if that changed (or was never noted though artifacts are
@@ -93,10 +96,13 @@ def split_runs(lines: DataFrame) -> DataFrame:
 
 
 def unit_context(units: DataFrame, most: int = 6) -> DataFrame:
-    """For each chunk its source pages in order of appearance, and the context of its first units."""
+    """For each chunk its source pages in order of appearance, and the first lines that stand before and after its
+    units; a chunk's units are few, and meet in one row."""
     pages = units.groupBy("tag", "idx", "page").agg(F.min("pos").alias("at")).groupBy("tag", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "page"))), lambda x: x["page"].cast("string")), ",").alias("pages"))
-    first = units.filter(F.col("pos") < most).groupBy("tag", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("id", F.lit(": "), "previous_tail").alias("c")))), lambda x: x["c"]), "\n").alias("context"))
-    return pages.join(first, ["tag", "idx"])
+    said = lambda before, text: F.when(text != "", F.concat(F.lit(before), text))
+    sides = F.transform(F.array_sort(F.collect_list(F.struct("pos", "previous_tail", "next_head"))), lambda x: F.array(said(BEFORE, x["previous_tail"]), said(AFTER, x["next_head"])))
+    first = units.groupBy("tag", "idx").agg(F.slice(F.array_compact(F.flatten(sides)), 1, most).alias("sides"))
+    return pages.join(first.select("tag", "idx", F.array_join("sides", "\n").alias("context")), ["tag", "idx"])
 
 
 def repairs_valid(rows: DataFrame, kinds: tuple[str, ...], states: tuple[str, ...]) -> DataFrame:

@@ -54,17 +54,30 @@ def merge_partial_report(report: DataFrame, part: DataFrame) -> DataFrame:
     return report.join(same, ["tag", "page"], "left_anti").unionByName(part.join(same, ["tag", "page"], "left_semi"))
 
 
-def report_integrity(layout: DataFrame, report: DataFrame, missing: DataFrame) -> DataFrame:
-    """A row for each rule that a volume's report breaks."""
+def report_integrity(layout: DataFrame, report: DataFrame, missing: DataFrame, volumes: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """A row for each rule that a volume's report breaks.
+
+    ``layout``: tag, id, x0, y0, x1, y1; ``report``: tag, id, the same box, source and translation; ``missing``: tag,
+    id; ``volumes``: tag, source, layout_source, layout_generation, report_generation, output, report_output.  Ids must
+    be given, once each, and be either applied or missing, all of them; the layout must be of the volume's own source
+    and of the report's generation, the report of the current output; boxes may differ by ``tolerance`` at most."""
     rule = lambda df, name: df.select("tag").distinct().withColumn("rule", F.lit(name))
-    both = report.select("tag", "id").union(missing.select("tag", "id"))
+    empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    other = lambda a, b: empty(a) | empty(b) | ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    ids = [df.select("tag", "id") for df in (layout, report, missing)]
+    both = ids[1].union(ids[2])
+    twice = [df.groupBy("tag", "id").count().filter("count > 1").select("tag") for df in ids]
+    box = ["x0", "y0", "x1", "y1"]
+    pair = report.join(layout.select("tag", "id", *[F.col(c).alias(f"l{c}") for c in box]), ["tag", "id"])
+    far = ~F.coalesce(F.greatest(*[F.abs(F.col(c) - F.col(f"l{c}")) for c in box]) <= tolerance, F.lit(False))
     broken = [
-        rule(report.groupBy("tag", "id").count().filter("count > 1"), "repeated id"),
-        rule(report.select("tag", "id").intersect(missing.select("tag", "id")), "applied and missing"),
-        rule(layout.select("tag", "id").exceptAll(both.distinct()), "not reported"),
-        rule(both.distinct().join(layout.select("tag", "id"), ["tag", "id"], "left_anti"), "unknown id"),
-        rule(report.filter(F.trim("translation") == ""), "blank translation"),
-    ]
+        rule(twice[0].union(twice[1]).union(twice[2]), "repeated id"), rule(both.union(ids[0]).filter(empty("id")), "lacking id"),
+        rule(ids[1].intersect(ids[2]), "applied and missing"), rule(ids[0].exceptAll(both.distinct()), "not reported"),
+        rule(both.distinct().join(ids[0], ["tag", "id"], "left_anti"), "unknown id"), rule(pair.filter(far), "other box"),
+        rule(report.filter(empty("source")), "blank source"), rule(report.filter(empty("translation")), "blank translation"),
+        rule(volumes.filter(other("layout_source", "source")), "other source"), rule(volumes.filter(other("layout_generation", "report_generation")), "other generation"),
+        rule(volumes.filter(other("report_output", "output")), "other output"),
+    ]
     out = broken[0]
     for b in broken[1:]:
         out = out.union(b)

@@ -105,13 +105,13 @@ add(
 
 def lone(s: SparkSession, d: str) -> DataFrame:
     """Spans that stand for lone bullets: single characters."""
-    return views.spans(s, d).filter(F.length("text") == 1).select("tag", "page", F.concat_ws("-", F.col("line"), F.col("span")).alias("id"), "x0", (F.col("y0") + 3).alias("y0"), (F.col("y1") + 3).alias("y1"))
+    return views.spans(s, d).filter(F.length(F.trim("text")) == 1).select("tag", "page", F.concat_ws("-", F.col("line"), F.col("span")).alias("id"), "x0", (F.col("y0") + 3).alias("y0"), (F.col("y1") + 3).alias("y1"))
 
 
 add(
     "orphan_bullets",
     lambda s, d: layout.orphan_bullets(lone(s, d), layout.line_features(views.spans(s, d))).fillna({"line": -1}),
-    f"""{LINES}, b AS (SELECT tag, page, line || '-' || span AS bullet, x0, (y0 + y1) / 2 + 3 AS y FROM v_spans WHERE length(text) = 1),
+    f"""{LINES}, b AS (SELECT tag, page, line || '-' || span AS bullet, x0, (y0 + y1) / 2 + 3 AS y FROM v_spans WHERE length(trim(text, ' ')) = 1),
 c AS (SELECT b.tag, b.page, b.bullet, l.line, row_number() OVER (PARTITION BY b.tag, b.page, b.bullet ORDER BY abs(b.y - (l.y0 + l.y1) / 2), l.line) AS r FROM b JOIN v_line l ON b.tag = l.tag AND b.page = l.page AND abs(b.y - (l.y0 + l.y1) / 2) <= 8 AND l.x0 >= b.x0 - 2)
 SELECT b.tag, b.page, b.bullet, coalesce(c.line, -1) AS line FROM b LEFT JOIN c ON b.tag = c.tag AND b.page = c.page AND b.bullet = c.bullet AND c.r = 1""",
 )

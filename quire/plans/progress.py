@@ -102,7 +102,42 @@ missing = lambda s, d: views.segments(s, d).filter("seq % 11 = 5 AND seq % 2 = 1
 add("review_flags", lambda s, d: render.review_flags(report(s, d)).select("tag", "id", "actual_scale", "review_required"), f"{REPORT} SELECT tag, id, actual_scale, review_required FROM v_flags")
 add("report_totals", lambda s, d: render.report_totals(render.review_flags(report(s, d)), missing(s, d)), f"{REPORT}, m AS (SELECT tag, count(*) AS missing FROM v_segments WHERE seq % 11 = 5 AND seq % 2 = 1 GROUP BY tag), a AS (SELECT tag, count(*) AS applied, count(*) FILTER (review_required) AS review FROM v_flags GROUP BY tag) SELECT tag, coalesce(applied, 0) AS applied, coalesce(review, 0) AS review, coalesce(missing, 0) AS missing FROM a FULL JOIN m USING (tag)")
 add("report_page", lambda s, d: report(s, d).filter("page = 3").select("tag", "id", "type"), f"{REPORT} SELECT tag, id, CASE kind WHEN 0 THEN 'heading' WHEN 1 THEN 'caption' WHEN 2 THEN 'footnote' ELSE 'body' END AS type FROM v_report WHERE page = 3")
-add("report_integrity", lambda s, d: render.report_integrity(views.segments(s, d), report(s, d), missing(s, d)), f"{REPORT} SELECT DISTINCT tag, 'blank translation' AS rule FROM v_report WHERE blank UNION SELECT DISTINCT tag, 'not reported' FROM v_segments WHERE seq % 11 = 5 AND seq % 2 = 0")
+
+
+def placed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Segments with a box, and their report with boxes moved by less or more than the tolerance and some sources lost."""
+    rows = views.segments(s, d)
+    box = lambda by: [(F.col("seq") + by + k).cast("double").alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]
+    moved = rows.select("tag", "id", *box(F.when(F.col("seq") % 97 == 0, 0.06).otherwise(0.04)), F.when(F.col("seq") % 89 == 3, " ").otherwise(F.col("text")).alias("source"))
+    return rows.select("tag", "id", *box(F.lit(0.0))), report(s, d).select("tag", "id", "translation").join(moved, ["tag", "id"])
+
+
+def rendered(s: SparkSession, d: str) -> DataFrame:
+    """Volumes whose layout, report or output is another's in some."""
+    h = F.col("h")
+    rows = views.segments(s, d).select("tag").distinct().withColumn("h", views.digit("tag"))
+    return rows.select(
+        "tag", F.col("tag").alias("source"), F.when(h < "2", "other").otherwise(F.col("tag")).alias("layout_source"), F.when(h == "2", "").when(h != "3", F.concat(F.lit("g"), h)).alias("layout_generation"),
+        F.when(h == "4", "g0").otherwise(F.concat(F.lit("g"), h)).alias("report_generation"), F.concat(F.lit("o"), "tag").alias("output"), F.when(h == "6", "x").when(h != "5", F.concat(F.lit("o"), "tag")).alias("report_output"),
+    )
+
+
+def integrity(s: SparkSession, d: str) -> DataFrame:
+    layout, found = placed(s, d)
+    return render.report_integrity(layout, found, missing(s, d), rendered(s, d))
+
+
+add(
+    "report_integrity",
+    integrity,
+    f"""{REPORT}, p AS (SELECT tag, id, CASE WHEN seq % 89 = 3 THEN ' ' ELSE text END AS source, seq AS lx, seq + CASE WHEN seq % 97 = 0 THEN 0.06 ELSE 0.04 END AS rx FROM v_segments JOIN (SELECT tag, id FROM v_report) USING (tag, id)),
+t AS (SELECT DISTINCT tag, substr(md5(tag), 1, 1) AS h FROM v_segments),
+m AS (SELECT tag, id FROM v_segments WHERE seq % 11 = 5 AND seq % 2 = 1),
+r AS (SELECT tag, tag AS source, CASE WHEN h < '2' THEN 'other' ELSE tag END AS ls, CASE WHEN h = '2' THEN '' WHEN h <> '3' THEN 'g' || h END AS lg, CASE WHEN h = '4' THEN 'g0' ELSE 'g' || h END AS rg, 'o' || tag AS o, CASE WHEN h = '6' THEN 'x' WHEN h <> '5' THEN 'o' || tag END AS ro FROM t)
+SELECT DISTINCT tag, 'blank translation' AS rule FROM v_report WHERE blank UNION SELECT DISTINCT tag, 'blank source' FROM p WHERE trim(source) = '' UNION SELECT DISTINCT tag, 'other box' FROM p WHERE abs(rx - lx) > 0.05
+UNION SELECT tag, 'not reported' FROM v_segments s WHERE NOT EXISTS (SELECT 1 FROM v_report r WHERE r.tag = s.tag AND r.id = s.id) AND NOT EXISTS (SELECT 1 FROM m WHERE m.tag = s.tag AND m.id = s.id)
+UNION SELECT tag, 'other source' FROM r WHERE ls IS DISTINCT FROM source UNION SELECT tag, 'other generation' FROM r WHERE coalesce(lg, '') = '' OR lg <> rg UNION SELECT tag, 'other output' FROM r WHERE ro IS DISTINCT FROM o""",
+)
 part = lambda s, d: report(s, d).filter("page % 3 = 1 AND NOT (page % 2 = 0 AND id LIKE '%7')").withColumn("translation", F.lit("new")).select("tag", "id", "page", "translation")
 add("merge_partial_report", lambda s, d: render.merge_partial_report(report(s, d).select("tag", "id", "page", "translation"), part(s, d)), f"{REPORT}, g AS (SELECT tag, page, page % 3 = 1 AND NOT bool_or(page % 2 = 0 AND id LIKE '%7') AS swap FROM v_report GROUP BY tag, page) SELECT tag, id, page, CASE WHEN swap THEN 'new' WHEN blank THEN ' ' ELSE 'ok' END AS translation FROM v_report JOIN g USING (tag, page)")
 

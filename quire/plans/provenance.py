@@ -121,7 +121,7 @@ SELECT tag, page, block, run, min(line) AS first, count(*) AS lines FROM i WHERE
 add(
     "unit_context",
     lambda s, d: provenance.unit_context(views.work_units(s, d)),
-    "+ p AS (SELECT tag, idx, page, min(pos) AS at_ FROM v_units GROUP BY ALL), q AS (SELECT tag, idx, string_agg(page::VARCHAR, ',' ORDER BY at_) AS pages FROM p GROUP BY tag, idx), c AS (SELECT tag, idx, string_agg(id || ': ' || previous_tail, chr(10) ORDER BY pos) AS context FROM v_units WHERE pos < 6 GROUP BY tag, idx) SELECT tag, idx, pages, context FROM q JOIN c USING (tag, idx)",
+    "+ p AS (SELECT tag, idx, page, min(pos) AS at_ FROM v_units GROUP BY ALL), q AS (SELECT tag, idx, string_agg(page::VARCHAR, ',' ORDER BY at_) AS pages FROM p GROUP BY tag, idx), w AS (SELECT tag, idx, pos, 0 AS side, 'Trước: ' || previous_tail AS line FROM v_units WHERE previous_tail <> '' UNION ALL SELECT tag, idx, pos, 1, 'Sau: ' || next_head FROM v_units WHERE next_head <> ''), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY tag, idx ORDER BY pos, side) <= 6), c AS (SELECT u.tag, u.idx, coalesce(string_agg(line, chr(10) ORDER BY f.pos, side), '') AS context FROM (SELECT DISTINCT tag, idx FROM v_units) u LEFT JOIN f USING (tag, idx) GROUP BY u.tag, u.idx) SELECT tag, idx, pages, context FROM q JOIN c USING (tag, idx)",
 )
 STATES, KINDS = ("pending", "running", "completed", "failed"), ("layout", "translation")
 
