@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 PAGE = ["tag", "page"]
 
+# How thin and how long a rule is, and how narrow a brace.
+THIN, LONG, NARROW = 2.5, 30, 12
+
 
 def _cut(lo: str, hi: str, a: str, b: str) -> Column:
     return F.greatest(F.least(F.col(f"{a}{hi}"), F.col(f"{b}{hi}")) - F.greatest(F.col(f"{a}{lo}"), F.col(f"{b}{lo}")), F.lit(0.0))
@@ -37,13 +40,19 @@ def clamp_rules(boxes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def drawing_rules(paths: DataFrame) -> DataFrame:
-    """Horizontal and vertical rules of vector paths (id, stroked, box): thin ones by their shape, stroked thick ones by
-    their four edges."""
+    """Horizontal and vertical rules of vector paths (id, shape, stroked, box): lines ``l`` and thin rectangles ``re`` by
+    their form, stroked thick rectangles by their four edges, where they are long enough; and any stroked path that is
+    narrow and tall, a brace say, as one rule at its left."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    edge = lambda kind, x0, y0, x1, y1: F.struct(F.lit(kind).alias("kind"), *(F.col(v).alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))))
-    edges = F.array(edge("h", "x0", "y0", "x1", "y0"), edge("h", "x0", "y1", "x1", "y1"), edge("v", "x0", "y0", "x0", "y1"), edge("v", "x1", "y0", "x1", "y1"))
-    own = F.when((h <= 2.5) & (w >= 30), F.array(edge("h", "x0", "y0", "x1", "y1"))).when((w <= 2.5) & (h >= 30), F.array(edge("v", "x0", "y0", "x1", "y1"))).when(F.col("stroked"), edges)
-    return paths.select(*PAGE, "id", F.explode(own).alias("e")).select(*PAGE, "id", "e.*")
+    edge = lambda kind, x0, y0, x1, y1, x=0: F.struct(F.lit(kind).alias("kind"), F.col(x0).alias("x0"), F.col(y0).alias("y0"), (F.col(x1) + x).alias("x1"), F.col(y1).alias("y1"))
+    plain = (F.col("shape") == "l") | (F.col("shape") == "re") & ((h <= THIN) | (w <= THIN))
+    framed = (F.col("shape") == "re") & ~plain & F.col("stroked")
+    found = [
+        F.when(plain & (h <= THIN) & (w >= LONG), edge("h", "x0", "y0", "x1", "y1")), F.when(plain & (h > THIN) & (w <= THIN) & (h >= LONG), edge("v", "x0", "y0", "x1", "y1")),
+        *[F.when(framed & (w >= LONG), edge("h", "x0", y, "x1", y)) for y in ("y0", "y1")], *[F.when(framed & (h >= LONG), edge("v", x, "y0", x, "y1")) for x in ("x0", "x1")],
+        F.when(F.col("stroked") & (w <= NARROW) & (h >= LONG), edge("v", "x0", "y0", "x0", "y1", 1.0)),
+    ]
+    return paths.select(*PAGE, "id", F.explode(F.array_compact(F.array(*found))).alias("e")).select(*PAGE, "id", "e.*")
 
 
 def fix_payload(resolved: DataFrame, issues: DataFrame) -> DataFrame:

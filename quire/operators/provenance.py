@@ -88,13 +88,6 @@ def labeled_groups(lines: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_heading")).groupBy("tag", "page", "block", "item").agg(F.min("line").alias("first"), F.count("*").alias("lines"))
 
 
-def split_runs(lines: DataFrame) -> DataFrame:
-    """Runs of lines between boundary lines (formulas, headings): first line and length of each."""
-    w = Window.partitionBy("tag", "page", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("run", F.count_if("boundary").over(w)).filter(~F.col("boundary"))
-    return rows.groupBy("tag", "page", "block", "run").agg(F.min("line").alias("first"), F.count("*").alias("lines"))
-
-
 def unit_context(units: DataFrame, most: int = 6) -> DataFrame:
     """For each chunk its source pages in order of appearance, and the first lines that stand before and after its
     units; a chunk's units are few, and meet in one row."""

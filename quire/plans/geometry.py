@@ -36,13 +36,15 @@ def paths(s: SparkSession, d: str) -> DataFrame:
     """Boxes of blocks as vector paths: some flattened to rules, some stroked."""
     h = views.digit("text")
     rows = layout.block_features(views.spans(s, d)).withColumn("h", h)
-    return rows.select("tag", "page", F.col("block").alias("id"), (F.col("h") > "7").alias("stroked"), "x0", "y0", F.when(F.col("h").isin("1", "9"), F.col("x0") + 2).otherwise(F.col("x1")).alias("x1"), F.when(F.col("h").isin("0", "2", "8"), F.col("y0") + 1).otherwise(F.col("y1")).alias("y1"))
+    return rows.select("tag", "page", F.col("block").alias("id"), (F.col("h") > "7").alias("stroked"), "x0", "y0", F.when(F.col("h").isin("3", "c", "d"), "c").when(F.col("h").isin("2", "4"), "l").otherwise("re").alias("shape"), F.when(F.col("h").isin("1", "9"), F.col("x0") + 2).when(F.col("h").isin("3", "a", "c"), F.col("x0") + 8).otherwise(F.col("x1")).alias("x1"), F.when(F.col("h").isin("0", "2", "8"), F.col("y0") + 1).otherwise(F.col("y1")).alias("y1"))
 
 
-RULES = f"""{BLOCKS}, v_path AS (SELECT tag, page, block AS id, h > '7' AS stroked, x0, y0, CASE WHEN h IN ('1', '9') THEN x0 + 2 ELSE x1 END AS x1, CASE WHEN h IN ('0', '2', '8') THEN y0 + 1 ELSE y1 END AS y1 FROM (SELECT *, substr(md5(text), 1, 1) AS h FROM v_block)),
-k AS (SELECT *, CASE WHEN y1 - y0 <= 2.5 AND x1 - x0 >= 30 THEN 'h' WHEN x1 - x0 <= 2.5 AND y1 - y0 >= 30 THEN 'v' WHEN stroked THEN 's' END AS k FROM v_path),
-v_rules AS (SELECT tag, page, id, k AS kind, x0, y0, x1, y1 FROM k WHERE k IN ('h', 'v') UNION ALL SELECT tag, page, id, 'h', x0, y0, x1, y0 FROM k WHERE k = 's' UNION ALL SELECT tag, page, id, 'h', x0, y1, x1, y1 FROM k WHERE k = 's'
-  UNION ALL SELECT tag, page, id, 'v', x0, y0, x0, y1 FROM k WHERE k = 's' UNION ALL SELECT tag, page, id, 'v', x1, y0, x1, y1 FROM k WHERE k = 's')"""
+RULES = f"""{BLOCKS}, v_path AS (SELECT tag, page, block AS id, h > '7' AS stroked, x0, y0, CASE WHEN h IN ('3', 'c', 'd') THEN 'c' WHEN h IN ('2', '4') THEN 'l' ELSE 're' END AS shape, CASE WHEN h IN ('1', '9') THEN x0 + 2 WHEN h IN ('3', 'a', 'c') THEN x0 + 8 ELSE x1 END AS x1, CASE WHEN h IN ('0', '2', '8') THEN y0 + 1 ELSE y1 END AS y1 FROM (SELECT *, substr(md5(text), 1, 1) AS h FROM v_block)),
+v_form AS (SELECT *, x1 - x0 AS w, y1 - y0 AS hh, shape = 'l' OR shape = 're' AND (y1 - y0 <= 2.5 OR x1 - x0 <= 2.5) AS plain FROM v_path),
+v_rules AS (SELECT tag, page, id, CASE WHEN hh <= 2.5 THEN 'h' ELSE 'v' END AS kind, x0, y0, x1, y1 FROM v_form WHERE plain AND (hh <= 2.5 AND w >= 30 OR hh > 2.5 AND w <= 2.5 AND hh >= 30)
+  UNION ALL SELECT tag, page, id, 'h', x0, unnest([y0, y1]) AS y, x1, y FROM v_form WHERE shape = 're' AND NOT plain AND stroked AND w >= 30
+  UNION ALL SELECT tag, page, id, 'v', unnest([x0, x1]) AS x, y0, x, y1 FROM v_form WHERE shape = 're' AND NOT plain AND stroked AND hh >= 30
+  UNION ALL SELECT tag, page, id, 'v', x0, y0, x0 + 1, y1 FROM v_form WHERE stroked AND w <= 12 AND hh >= 30)"""
 add("drawing_rules", lambda s, d: geometry.drawing_rules(paths(s, d)), f"{RULES} SELECT * FROM v_rules")
 add(
     "clamp_rules",

@@ -112,12 +112,6 @@ add(
 o AS (SELECT *, NOT g AND (l OR coalesce(lag(g) OVER (PARTITION BY tag, page, block ORDER BY line), true)) AS opens FROM k), i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY tag, page, block ORDER BY line)::BIGINT AS item FROM o)
 SELECT tag, page, block, item, min(line) AS first, count(*) AS lines FROM i WHERE NOT g GROUP BY tag, page, block, item""",
 )
-add(
-    "heading_split_runs",
-    lambda s, d: provenance.split_runs(kinds(s, d).withColumn("boundary", F.col("heading_line") | F.col("h").isin("2", "3"))),
-    f"""{LINES}, k AS (SELECT tag, page, block, line, heading_share >= 0.8 OR substr(md5(text), 1, 1) IN ('2', '3') AS g FROM v_line), i AS (SELECT *, count(*) FILTER (g) OVER (PARTITION BY tag, page, block ORDER BY line) AS run FROM k)
-SELECT tag, page, block, run, min(line) AS first, count(*) AS lines FROM i WHERE NOT g GROUP BY tag, page, block, run""",
-)
 add(
     "unit_context",
     lambda s, d: provenance.unit_context(views.work_units(s, d)),
