@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How placeholders and tags are spelt.
 HOLDER = r"\{v(\d+)\}"
 TAG = r"</?(?:b|i|sup)>"
 

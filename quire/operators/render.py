@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The scales that are tried.
 LADDER = [1.0, 0.97, 0.94, 0.91, 0.88, 0.85, 0.82, 0.79, 0.76, 0.73, 0.7, 0.67, 0.64, 0.6, 0.55]
 # The least scale of each role that needs no review.
 FLOORS = {"heading": 0.85, "title": 0.85, "caption": 0.72, "footnote": 0.80, "reference": 0.80}

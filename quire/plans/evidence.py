@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import evidence, layout
 from quire.plans.layout import LINES
 from quire.plans.registry import add
-from quire.sources import views
+from quire.sources import scratch, views
 
 tags = lambda s, d: views.segments(s, d).select("tag").distinct().withColumn("h", views.digit("tag"))
 lines = lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", "block", "line", "text", "x0", "y0", "x1", "y1")
@@ -63,7 +63,7 @@ add(
 def trusted(s: SparkSession, d: str) -> DataFrame:
     """Lines as a fresh extraction; reports of some volumes that lack a page, say something else or stand elsewhere,
     and saved layouts of which some items moved."""
-    rows = lines(s, d).withColumn("id", F.concat_ws("-", F.lit("s"), "page", "line")).withColumn("pos", F.col("line")).withColumn("h", two()).withColumn("g", views.digit("tag"))
+    rows = scratch.keep(lines(s, d), "segment_lines").withColumn("id", F.concat_ws("-", F.lit("s"), "page", "line")).withColumn("pos", F.col("line")).withColumn("h", two()).withColumn("g", views.digit("tag"))
     moved = lambda by: F.struct("x0", (F.col("y0") + by).alias("y0"), "x1", (F.col("y1") + by).alias("y1"))
     local = rows.select("tag", "page", "pos", "id", F.col("text").alias("en"), F.struct("x0", "y0", "x1", "y1").alias("box"))
     report = rows.filter("g >= '4' AND NOT (g < '6' AND page = 2)").select(

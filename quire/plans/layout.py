@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import layout
 from quire.plans.registry import add
-from quire.sources import views
+from quire.sources import scratch, views
 
 M, STRONG = r"[=+\-−×÷/^()\[\]{}0-9.,%$≤≥≠≈∑∫√·•]", "[∑∫√≤≥≠≈×÷⁄·∞±→∂∏σµ]"
 COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
@@ -56,7 +56,7 @@ add("body_size", lambda s, d: layout.body_size(views.spans(s, d)), f"+ {BODY} SE
 PROSE = f"""length(text) >= 25 AND NOT {FEATURES['is_copyright']} AND NOT {FORMULA('text')} AND NOT toc_block AND NOT table_row_block
   AND NOT regexp_matches(lower(dominant.font), 'bold|black|cond|italic|courier|mono|consol') AND dominant.size >= 8.5 AND dominant.size <= body * 1.12
   AND {COUNT('text', '[\\p{L}]')} / greatest(length(text), 1) >= 0.55 AND {COUNT('text', '[A-Za-z]{2,}')} >= 5"""
-add("prose_block", lambda s, d: layout.prose_blocks(views.spans(s, d)), f"{BLOCKS} SELECT tag, page, block, {PROSE} AS prose FROM v_block JOIN v_body USING (tag, page)")
+add("prose_block", lambda s, d: layout.prose_blocks(scratch.keep(views.spans(s, d), "prose_spans")), f"{BLOCKS} SELECT tag, page, block, {PROSE} AS prose FROM v_block JOIN v_body USING (tag, page)")
 add("reading_order", lambda s, d: layout.reading_order(views.spans(s, d)).select("tag", "page", "line", "place"), f"{LINES} SELECT tag, page, line, row_number() OVER (PARTITION BY tag, page ORDER BY round_even(y0, 0), round_even(x0, 0), block, line) AS place FROM v_line")
 add(
     "line_height_ratio",

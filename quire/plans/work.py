@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import markers
 from quire.operators import memory, units
 from quire.plans.registry import add
-from quire.sources import views
+from quire.sources import scratch, views
 
 
 def marked(s: SparkSession, d: str) -> DataFrame:
@@ -75,9 +75,14 @@ add(
     f"{GIVEN} SELECT u.tag, u.idx, bool_and(trim(coalesce(g.vi, ''), ' ') <> '' AND coalesce({HOLD('u.text')} = {HOLD('g.vi')}, false)) AS passes FROM v_units u LEFT JOIN v_given g USING (tag, idx, id) GROUP BY u.tag, u.idx",
 )
 add("stage_gate_vision", lambda s, d: units.stage_gate(views.work_units(s, d), views.outputs(s, d), "vision"), "SELECT tag, idx, json_valid(raw) AND raw LIKE '[%' AS passes FROM v_outputs")
+def merged(s, d):  # noqa: ANN001, ANN201
+    work = scratch.keep(views.work_units(s, d), "units")
+    return memory.merge_translations(work, views.outputs(s, d, work), views.memory(s, d))
+
+
 add(
     "merge_translations",
-    lambda s, d: memory.merge_translations(views.work_units(s, d), views.outputs(s, d), views.memory(s, d)),
+    merged,
     f"{GIVEN}, g AS (SELECT u.tag, u.text, {SQUEEZE('g.vi')} AS vi FROM v_units u JOIN v_given g USING (tag, idx, id) WHERE trim(g.vi, ' ') <> '') SELECT coalesce(g.tag, m.tag) AS tag, coalesce(g.text, m.text) AS text, coalesce(g.vi, m.vi) AS vi FROM v_memory m FULL JOIN g ON m.tag = g.tag AND m.text = g.text",
 )
 add(

@@ -49,10 +49,11 @@ def work_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.make_chunks(todo.join(units.reading_context(all_).select("tag", "seq", "previous_tail", "next_head"), ["tag", "seq"]))
 
 
-def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit outputs as JSON: whole, lacking an id, with a blank value, empty, cut off, a list, or absent."""
+def outputs(spark: SparkSession, sf_dir: str, work: DataFrame | None = None) -> DataFrame:
+    """Unit outputs as JSON: whole, lacking an id, with a blank value, empty, cut off, a list, or absent.  ``work``: the
+    volumes' units, where they have been derived before."""
     d = digit("tag", "idx")
-    chunks = work_units(spark, sf_dir).groupBy("tag", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "id", "text"))).alias("items"))
+    chunks = (work or work_units(spark, sf_dir)).groupBy("tag", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "id", "text"))).alias("items"))
     chunks = chunks.withColumn("d", d).filter("d <> 'f'")
     value = lambda x, i: F.when((F.col("d") == "b") & (i == 0), F.lit(" ")).otherwise(F.concat(F.lit("đ"), F.md5(x["text"])))
     entry = F.transform("items", lambda x, i: F.concat(F.lit('"'), x["id"], F.lit('":"'), value(x, i), F.lit('"')))
