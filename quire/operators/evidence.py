@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import layout
+from quire.operators.progress import effective_stage
 from quire.operators.provenance import same_slot
 
 PAGE = ["tag", "page"]
@@ -33,15 +34,26 @@ def layout_match(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> Dat
     return rows.groupBy(*PAGE).agg(F.bool_and(same).alias("same"))
 
 
-def volume_row(volumes: DataFrame, status: DataFrame, runs: DataFrame, preferences: DataFrame, finished: DataFrame) -> DataFrame:
-    """One row a volume (tag, skip) for the status screen.  A volume without status is to be translated; a finished
-    signal (tag) makes it done unless it is in review; pages are known once they were counted."""
-    rows = volumes.join(status, "tag", "left").join(runs, "tag", "left").join(preferences, "tag", "left")
-    rows = rows.join(finished.select("tag", F.lit(True).alias("_done")).distinct(), "tag", "left")
-    stage = F.coalesce("stage", F.lit("translate"))
+COUNTS = ["t_done", "t_total", "v_done", "v_total", "p_done", "p_total"]
+
+
+def volume_row(volumes: DataFrame, status: DataFrame, runs: DataFrame, preferences: DataFrame, finished: DataFrame, live: DataFrame, review_on: bool = True) -> DataFrame:
+    """One row a volume (tag, display, skip, user) for the status screen.
+
+    ``status``: tag, stage, units done and in all of each stage (COUNTS), pct, defects, out_exists; ``runs``: tag,
+    engine, sid, mode, rc of the last one; ``finished`` and ``live``: tags with a finished signal and with a running
+    process.  A volume without status is to be translated; without page review its stage is done; a finished signal
+    makes a volume done unless it is in review; pages are known once they were counted."""
+    rows = volumes
+    for table in (status, runs, preferences, finished.select("tag", F.lit(True).alias("_done")).distinct(), live.select("tag", F.lit(True).alias("_live")).distinct()):
+        rows = rows.join(table, "tag", "left")
+    stage = effective_stage(F.col("stage"), F.lit(review_on))
     stage = F.when(F.col("_done").isNotNull() & (stage != "review"), "done").otherwise(stage)
-    pages = F.when(F.col("pages") > 0, F.col("pages"))
-    return rows.select("tag", "skip", stage.alias("stage"), "pct", pages.alias("pages"), "defects", "engine", "mode", "rc", "pref_engine")
+    pages = F.when(F.col("p_total") > 0, F.col("p_total"))
+    return rows.select(
+        "tag", "display", stage.alias("stage"), F.col("_live").isNotNull().alias("running"), "skip", "user", *COUNTS, F.col("pct").alias("overall_pct"), F.coalesce("out_exists", F.lit(False)).alias("out_exists"),
+        "engine", "sid", "mode", "rc", "defects", "pref_engine", pages.alias("pages"),
+    )
 
 
 def page_segments(wanted: DataFrame, local: DataFrame, report: DataFrame, saved: DataFrame, overrides: DataFrame, memory: DataFrame) -> DataFrame:

@@ -44,19 +44,26 @@ add("layout_match", lambda s, d: evidence.layout_match(*extractions(s, d)), f"{L
 
 
 def screen(s: SparkSession, d: str) -> DataFrame:
-    t, h = tags(s, d), F.col("h")
+    """Volumes in each stage, without page review: some running, some exited, some with a finished signal or no status."""
+    t, h, n = tags(s, d), F.col("h"), F.length("tag").cast("bigint")
     stage = F.when(h < "4", "translate").when(h < "8", "vision").when(h < "c", "review").otherwise("done")
-    status = t.filter(h != "3").select("tag", stage.alias("stage"), F.length("tag").cast("bigint").alias("pct"), F.when(h > "5", F.length("tag").cast("bigint")).otherwise(0).alias("pages"), (F.length("tag") % 3).cast("bigint").alias("defects"))
-    runs = t.filter(h.isin("1", "5", "9", "d")).select("tag", F.lit("e1").alias("engine"), F.when(h == "5", "exited").otherwise("running").alias("mode"), F.when(h == "5", 0).cast("bigint").alias("rc"))
-    return evidence.volume_row(t.select("tag", (h == "2").alias("skip")), status, runs, t.filter(h < "2").select("tag", F.lit("e2").alias("pref_engine")), t.filter(h.isin("3", "6", "9")).select("tag"))
+    counts = {"t_done": n - 2, "t_total": n, "v_done": n - 3, "v_total": n - 1, "p_done": F.lit(1).cast("bigint"), "p_total": F.when(h > "5", n).otherwise(0)}
+    status = t.filter(h != "3").select("tag", stage.alias("stage"), *[v.alias(c) for c, v in counts.items()], n.alias("pct"), (n % 3).alias("defects"), (h > "a").alias("out_exists"))
+    runs = t.filter(h.isin("1", "5", "9", "d")).select("tag", F.lit("e1").alias("engine"), F.concat(F.lit("s"), h).alias("sid"), F.when(h == "5", "exited").otherwise("running").alias("mode"), F.when(h == "5", 0).cast("bigint").alias("rc"))
+    volumes = t.select("tag", F.upper("tag").alias("display"), (h == "2").alias("skip"), (h == "7").alias("user"))
+    return evidence.volume_row(volumes, status, runs, t.filter(h < "2").select("tag", F.lit("e2").alias("pref_engine")), t.filter(h.isin("3", "6", "9")).select("tag"), t.filter(h.isin("1", "d")).select("tag"), review_on=False)
 
 
 add(
     "volume_row",
     screen,
-    """+ t AS (SELECT DISTINCT tag, substr(md5(tag), 1, 1) AS h FROM v_segments) SELECT tag, h = '2' AS skip, CASE WHEN h IN ('3', '6') THEN 'done' WHEN h < '4' THEN 'translate' WHEN h < '8' THEN 'vision' WHEN h < 'c' THEN 'review' ELSE 'done' END AS stage,
-  CASE WHEN h <> '3' THEN length(tag) END AS pct, CASE WHEN h > '5' THEN length(tag) END AS pages, CASE WHEN h <> '3' THEN length(tag) % 3 END AS defects, CASE WHEN h IN ('1', '5', '9', 'd') THEN 'e1' END AS engine,
-  CASE WHEN h = '5' THEN 'exited' WHEN h IN ('1', '9', 'd') THEN 'running' END AS mode, CASE WHEN h = '5' THEN 0::BIGINT END AS rc, CASE WHEN h < '2' THEN 'e2' END AS pref_engine FROM t""",
+    """+ t AS (SELECT DISTINCT tag, substr(md5(tag), 1, 1) AS h FROM v_segments),
+s AS (SELECT tag, CASE WHEN h < '4' THEN 'translate' WHEN h < '8' THEN 'vision' WHEN h < 'c' THEN 'review' ELSE 'done' END AS stage, length(tag) AS n, CASE WHEN h > '5' THEN length(tag) ELSE 0 END AS total FROM t WHERE h <> '3'),
+e AS (SELECT t.*, s.n, s.total, CASE coalesce(stage, 'translate') WHEN 'vision' THEN 'done' ELSE coalesce(stage, 'translate') END AS stage FROM t LEFT JOIN s USING (tag))
+SELECT tag, upper(tag) AS display, CASE WHEN h IN ('3', '6', '9') AND stage <> 'review' THEN 'done' ELSE stage END AS stage, h IN ('1', 'd') AS running, h = '2' AS skip, h = '7' AS "user",
+  n - 2 AS t_done, n AS t_total, n - 3 AS v_done, n - 1 AS v_total, CASE WHEN n IS NOT NULL THEN 1::BIGINT END AS p_done, total AS p_total, n AS overall_pct, n IS NOT NULL AND h > 'a' AS out_exists,
+  CASE WHEN h IN ('1', '5', '9', 'd') THEN 'e1' END AS engine, CASE WHEN h IN ('1', '5', '9', 'd') THEN 's' || h END AS sid, CASE WHEN h = '5' THEN 'exited' WHEN h IN ('1', '9', 'd') THEN 'running' END AS mode, CASE WHEN h = '5' THEN 0::BIGINT END AS rc,
+  n % 3 AS defects, CASE WHEN h < '2' THEN 'e2' END AS pref_engine, CASE WHEN total > 0 THEN total END AS pages FROM e""",
 )
 
 
