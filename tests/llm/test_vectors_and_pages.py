@@ -111,6 +111,38 @@ def test_structure_of_pages():
         assert pages_.blocks(page)[0] == blocks
 
 
+def test_which_article_of_a_page():
+    """Articles in chrome, articles in articles, attribute values, and references cut by a tag."""
+    cases = {
+        "<main>story</main><aside><article>teaser</article></aside>": ["story"],
+        "<main>story</main><footer><article>teaser</article></footer>": ["story"],
+        "<div>story</div><aside><div><article>teaser</article></div></aside>": ["story"],
+        '<article class="page"><div><article class="post"><p>Post.</p></article></div></article>': ["Post."],
+        "<article><h1>Big</h1><section><article>Chapter</article></section></article>": ["Big", "Chapter"],
+        "<article><p>Story.</p><section><h2>3 Comments</h2><article>nice</article><article>no</article></section></article>": ["Story."],
+        '<article><p>Story.</p><div><article itemprop="comment"><p>nice</p></article></div></article>': ["Story."],
+        '<div role="main"><p>crumbs</p><article><p>A longer story here.</p></article></div>': ["A longer story here."],
+        "<main><p>Long main story.</p><article>teaser</article></main>": ["Long main story.", "teaser"],
+        "<div><article>teaser</article></div><div><article>The whole story.</article></div>": ["The whole story."],
+        "<article>Part one.</article><article>Part two.</article>": ["Part one.", "Part two."],
+        "<form><div><article>Story</article></div></form>": ["Story"],
+        '<article><p title="a hidden gem">A</p><div data-state="x hidden y">B</div><p data-role="search">C</p><p data-id="comments">D</p></article>': ["A", "B", "C", "D"],
+        "<article><p hidden>x</p><p HIDDEN=''>x</p><p aria-hidden = 'true'>x</p><p style='display: none'>x</p>y</article>": ["y"],
+        "<p>&am<b>p;</b> &amp;lt; &lt;b&gt;</p>": ["&amp; &lt; <b>"],
+        "<article></article><div>loaded</div>": ["loaded"],
+    }
+    for page, blocks in cases.items():
+        assert pages_.blocks(page)[0] == blocks, page
+
+
+def test_a_passage_of_three_pages_of_a_large_host_goes(spark):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, f"https://big.example/{i}", f"<div>{say(f'own{i}x', 9)}</div>" + (f"<p>{say('notice', 20)}</p>" if i < 3 else "")) for i in range(20)]
+    rows += [(30 + i, f"https://two.example/{i}", f"<div>{say(f'two{i}x', 9)}</div><p>{say('notice', 20)}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in pages_.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: say(f"own{i}x", 9) for i in range(20)} | {30 + i: say(f"two{i}x", 9) for i in range(2)}
+
+
 def test_runs_that_other_pages_repeat_go(spark):
     menu = "<div>" + " ".join(f"menu{i}" for i in range(12)) + "</div>"
     quoted = "<p>" + " ".join(f"quote{i}" for i in range(20)) + "</p>"
@@ -158,7 +190,7 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pages_of_any_shape_are_read_in_one_pass():
