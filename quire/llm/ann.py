@@ -17,6 +17,8 @@ TABLES = 16
 BUCKET_ROWS = 512
 #: Queries on which the number of probes is fitted, and the recall that it must reach there.
 FIT_QUERIES, FIT_RECALL = 128, 0.97
+#: Probes a table beyond which all classes are scored instead.
+PROBES = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _pairs(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, -cosine, candidate row) of each query's k best candidates in this block."""
-    cands, first = grid.by_length(right["embedding"]), right["first"].to_numpy()
+    cands, place = grid.by_length(right["embedding"]), right["place"].to_numpy()
     found = []
     for d, (qrow, q) in grid.by_length(left["embedding"]).items():
         if d not in cands:
@@ -110,7 +112,7 @@ def _pairs(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndar
         uq, uc = unit(q), unit(c)
         step = max(1, 4_000_000 // max(1, len(c)))
         for at in range(0, len(q), step):
-            r, j = grid.top_of_block(np.round(uq[at : at + step] @ uc.T, 14), first[crow], k)
+            r, j = grid.top_of_block(np.round(uq[at : at + step] @ uc.T, 14), place[crow], k)
             found.append((qrow[at + r], -cosine(q[at + r], c[j]), crow[j]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
@@ -120,7 +122,8 @@ def _pairs(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def _fit(coded: DataFrame, sample: DataFrame, k: int, widths: dict[int, list[int]]) -> int:
-    """The least probes a table that reach FIT_RECALL on the sample, whose true neighbours one scan finds."""
+    """The least probes a table that reach FIT_RECALL on the sample, whose true neighbours one scan finds; above PROBES
+    where so many don't."""
     queries = sample.toArrow()
     if not queries.num_rows:
         return 1
@@ -129,13 +132,13 @@ def _fit(coded: DataFrame, sample: DataFrame, k: int, widths: dict[int, list[int
         for batch in batches:
             right = pa.Table.from_batches([batch])
             rows, neg, cols = _pairs(queries, right, k + 1)
-            yield from pa.table({"query": queries["vec"].take(pa.array(rows)), "neg": pa.array(neg), "vec": right["vec"].take(pa.array(cols)), "codes": right["codes"].take(pa.array(cols))}).to_batches()
+            yield from pa.table({"query": queries["vec"].take(pa.array(rows)), "neg": pa.array(neg), "vec": right["vec"].take(pa.array(cols)), "place": right["place"].take(pa.array(cols)), "codes": right["codes"].take(pa.array(cols))}).to_batches()
 
-    near = coded.mapInArrow(scan, "query bigint, neg double, vec bigint, codes array<bigint>").filter("query <> vec")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("neg", "vec"))
+    near = coded.mapInArrow(scan, "query bigint, neg double, vec bigint, place bigint, codes array<bigint>").filter("query <> vec")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("neg", "place"))
     truth = near.withColumn("r", rank).filter(F.col("r") <= k).select("query", "codes").toArrow()
     at = {v: i for i, v in enumerate(queries["vec"].to_pylist())}
-    needed, most = [], 64
+    needed, most = [], PROBES
     for d, (rows, q) in grid.by_length(queries["embedding"]).items():
         seen = probes(unit(q), widths.get(d, parts_for(0, d)), most)
         row_of = {r: i for i, r in enumerate(rows)}
@@ -153,7 +156,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, cell_rows: int =
     which the k + 1 smallest ids are kept: no query can need more.  Each class is hashed into TABLES tables; a query
     looks into its nearest buckets of each, their number fitted on up to FIT_QUERIES queries whose true neighbours
     one scan over all rows finds.  What shares a bucket is scored exactly on the original vectors.  Oversize buckets
-    are split into a grid of cells, never cut.  Rows with a null id, and vectors that are null, empty, zero or hold
+    are split into a grid of cells, never cut.  Where PROBES probes don't reach FIT_RECALL, and for queries that find
+    fewer than they could, the queries are scored against all classes in such cells.  Rows with a null id, and vectors that are null, empty, zero or hold
     a null or non-finite component, take no part; vectors only meet others of their length; ties go to the smaller
     id; a query never finds its own id; empty inputs give no rows."""
     spark = candidates.sparkSession
@@ -177,10 +181,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, cell_rows: int =
             for d, (rows, v) in grid.by_length(batch.column("embedding")).items():
                 out[rows] = codes(unit(v), widths[d])
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, TABLES, dtype=np.int32)), pa.array(out.ravel()))
-            first = np.array([x[0] for x in batch.column("ids").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("ids"), pa.array(first), batch.column("embedding"), listed], ["vec", "ids", "first", "embedding", "codes"])
+            names = ["vec", "ids", "place", "embedding"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), listed], [*names, "codes"])
 
-    coded = scratch.keep(classes.mapInArrow(encode, "vec bigint, ids array<bigint>, first bigint, embedding array<double>, codes array<bigint>"), "coded")
+    # classes are numbered in order of their smallest ids, so that merged lists put equal cosines in that order
+    classes = classes.withColumn("first", F.col("ids")[0]).repartitionByRange("first", "vec").sortWithinPartitions("first", "vec")
+    classes = classes.withColumn("place", F.monotonically_increasing_id())
+    coded = scratch.keep(classes.mapInArrow(encode, "vec bigint, ids array<bigint>, place bigint, embedding array<double>, codes array<bigint>"), "coded")
     sought = scratch.keep(wanted.groupBy("vec").agg(F.first("embedding").alias("embedding")), "queries")
     most = _fit(coded, sought.orderBy(F.xxhash64(F.lit(3), "vec")).limit(FIT_QUERIES), k, widths)
 
@@ -193,19 +200,33 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, cell_rows: int =
                 yield pa.RecordBatch.from_arrays([batch.column("vec").take(taken), pa.array(tab.astype(np.int32)), pa.array(seen[row, tab, nth]), batch.column("embedding").take(taken)], ["vec", "tab", "bucket", "embedding"])
 
     q = sought.mapInArrow(look, "vec bigint, tab int, bucket bigint, embedding array<double>")
-    c = coded.select("vec", "first", "embedding", F.posexplode("codes").alias("tab", "bucket"))
+    c = coded.select("vec", "place", "embedding", F.posexplode("codes").alias("tab", "bucket"))
     keys = ["tab", "bucket"]
-    q, c, parts = grid.grid(q, c, keys, "vec", "vec", cell_rows)
 
     def score(left: pa.Table, right: pa.Table, part: int) -> pa.Table:
         rows, neg, cols = _pairs(left, right, k + 1)
-        return grid.hits_table(left["vec"].to_numpy(), part, rows, neg, right["vec"].to_numpy()[cols])
-
-    lists = grid.score_cells(q, c, keys, "double", score).withColumn("part", F.col("part") + parts * F.pmod(F.hash("hits"), F.lit(16)))
-    # ``id`` of a hit is its class here; equal cosines are put in order of ids below, once classes are opened.
-    best = grid.merge_lists(lists, 4 * (k + 1), 16 * parts, distinct=True)
-    opened = best.select(F.col("query").alias("qvec"), F.explode("hits").alias("hit")).select("qvec", F.col("hit.neg").alias("neg"), F.col("hit.id").alias("vec"))
-    opened = opened.join(coded.select("vec", "ids"), "vec").select("qvec", "neg", F.explode("ids").alias("vec_id"))
+        return grid.hits_table(left["vec"].to_numpy(), part, rows, neg, right["place"].to_numpy()[cols])
+
+    def search(q: DataFrame, c: DataFrame) -> DataFrame:
+        q, c, parts = grid.grid(q, c, keys, "vec", "vec", cell_rows)
+        lists = grid.score_cells(q, c, keys, "double", score).withColumn("part", F.col("part") + parts * F.pmod(F.hash("hits"), F.lit(16)))
+        return grid.merge_lists(lists, 4 * (k + 1), 16 * parts, distinct=True)
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.drop("ids", "codes").withColumns({"tab": F.lit(0), "bucket": F.lit(0).cast("bigint")})
+
+    if most > PROBES:
+        best = search(whole(sought), whole(coded))
+    else:
+        best = scratch.keep(search(q, c), "best")
+        dim = F.size("embedding").alias("dim")
+        enough = sought.select("vec", dim).join(F.broadcast(coded.groupBy(dim).agg(F.least(F.count("*"), F.lit(k + 1)).alias("least"))), "dim")
+        short = enough.join(best.select(F.col("query").alias("vec"), F.size("hits").alias("n")), "vec", "left").filter("coalesce(n, 0) < least").select("vec")
+        short = scratch.keep(sought.join(short, "vec", "left_semi"), "short")
+        if not short.isEmpty():
+            best = best.join(short.select(F.col("vec").alias("query")), "query", "left_anti").unionByName(search(whole(short), whole(coded)))
+    opened = best.select(F.col("query").alias("qvec"), F.explode("hits").alias("hit")).select("qvec", F.col("hit.neg").alias("neg"), F.col("hit.id").alias("place"))
+    opened = opened.join(coded.select("place", "ids"), "place").select("qvec", "neg", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy("neg", "vec_id")
     answers = wanted.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")).distinct().join(opened, "qvec").filter("query_id <> vec_id")
     answers = answers.groupBy("query_id", "vec_id").agg(F.min("neg").alias("neg")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

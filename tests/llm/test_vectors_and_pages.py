@@ -79,6 +79,31 @@ def test_nearest_on_odd_rows(spark):
     assert ann.nearest(odd, odd.limit(0), 2).count() == 0
 
 
+def test_nearest_among_many_ties_and_few_finds(spark, monkeypatch):
+    """100 different vectors of one cosine: the smallest ids win; where probes find too little, all is scanned."""
+    rng = np.random.default_rng(5)
+    around = [[3.0] + [4.0 * sign * (j == axis) for j in range(7)] for axis in range(7) for sign in (1, -1)]
+    rows = [(0, [1.0] + [0.0] * 7)] + [(1000 - 20 * n - i, [x * 2.0**n for x in v]) for n in range(8) for i, v in enumerate(around)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ids = sorted(i for i, _ in rows if i)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(table.filter("vec_id = 0"), table, 5).collect())
+    assert got == [(n + 1, ids[n], pytest.approx(0.6)) for n in range(5)]
+    noise = [(i, rng.standard_normal(24).tolist()) for i in range(400)]
+    table = spark.createDataFrame(noise, "vec_id bigint, embedding array<double>")
+    u = np.array([v for _, v in noise])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for fitted in (ann.PROBES + 1, 1):
+        monkeypatch.setattr(ann, "_fit", lambda *a, n=fitted: n)
+        found = {}
+        for r in ann.nearest(table.filter("vec_id % 50 = 0"), table, 60).collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        for i in range(0, 400, 50):
+            order = [int(j) for j in np.argsort(-(u @ u[i])) if j != i][:60]
+            if fitted > 1:
+                assert [j for _, j in sorted(found[i])] == order
+            assert len(found[i]) == 60
+
+
 def test_grid_cells_hold_few_rows_and_meet_once(spark):
     q = spark.range(50).select(F.col("id").alias("q"), F.lit(0).alias("k"))
     c = spark.range(300).select(F.col("id").alias("c"), (F.col("id") % 3 == 1).cast("int").alias("k"))
