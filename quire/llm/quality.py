@@ -15,9 +15,9 @@ from quire.llm import common, words
 
 #: Bits of a word's hash that name its feature, and values that describe the look of a text.
 BITS, LOOKS = 32, 8
-#: Labelled documents of each grade that the model is fitted on at most, the words of each that it is fitted on at
-#: most (those whose hash is least), and the passes over them.
-SAMPLE, HELD, EPOCHS = 6000, 2000, 25
+#: Labelled documents of each grade that the model is fitted on at most, the distinct words of these documents at which
+#: no further one is taken, and the passes over them.
+SAMPLE, HELD, EPOCHS = 6000, 12_000_000, 25
 #: Deviations at which a word's log ratio is believed in full, the power at which nearer ones count for less, and the
 #: steps that a pass takes at least.
 DEVIATIONS, POWER, STEPS = 5.0, 3, 32
@@ -162,15 +162,16 @@ def fit(x: Features, grades: np.ndarray, weight: np.ndarray, levels: int, epochs
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(batch.column("text"))
-        found = [x.words[a:b][:HELD].astype("<u4").tobytes() for a, b in zip(x.begins[:-1], x.begins[1:])]
+        found = [x.words[a:b].astype("<u4").tobytes() for a, b in zip(x.begins[:-1], x.begins[1:])]
         cols = [batch.column("doc_id"), batch.column("grade"), batch.column("text_hash"), pa.array(found, pa.binary()), pa.array([r.astype("<f8").tobytes() for r in x.looks], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "grade", "text_hash", "words", "looks"])
 
 
-def train(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPLE) -> Ordinal:
-    """Fits on at most ``sample`` documents of each grade, those whose id hashes lowest; ``graded`` has ``doc_id`` and
-    ``grade``.  Features are made on the executors; the bounded sample is fitted on the driver, at most HELD words of
-    4 bytes a document.  Grades outside the scale, null grades and labels without a document are ignored; the lowest
+def train(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPLE, held: int = HELD) -> Ordinal:
+    """Fits on at most ``sample`` documents of each grade, those whose id hashes lowest, and of these no more than it
+    takes to reach ``held`` distinct words, counted for each document; a document that is taken is read whole.
+    ``graded`` has ``doc_id`` and ``grade``.  Features are made on the executors; the bounded sample is fitted on the
+    driver, 4 bytes a word.  Grades outside the scale, null grades and labels without a document are ignored; the lowest
     of several grades of a document counts, and of several texts of one doc_id the one whose hash is least.
     With fewer than two grades every document is expected to have the top grade."""
     graded = graded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("grade").cast("int").alias("grade")).filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1))
@@ -187,6 +188,8 @@ def train(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAM
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "grade", "text_hash", "text").mapInArrow(_featured, "doc_id bigint, grade int, text_hash bigint, words binary, looks binary")
     rows = rows.groupBy("doc_id", "grade").agg(F.min_by(F.struct("words", "looks"), "text_hash").alias("x")).select("doc_id", "grade", "x.words", "x.looks")
+    before = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("words") / 4).over(before), F.lit(0))).filter(F.col("before") < held).drop("before")
     rows = rows.toArrow().combine_chunks()
     ids, grades = rows["doc_id"].to_numpy(), rows["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:

@@ -324,6 +324,16 @@ def test_sentencepiece_on_odd_rows(spark, odd):
     assert spm.encode(frame(spark, [])).count() == 0
 
 
+def test_quality_reads_labelled_texts_whole(spark):
+    """A long text's words are all fitted on; past the bound on words no further document is."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, say("good", 5000)), (2, say("poor", 30)), (3, say("vile", 30)), (4, say("fine", 40))], "doc_id bigint, text string")
+    graded = spark.createDataFrame([(1, 2), (2, 1), (3, 0), (4, 2)], "doc_id bigint, grade int")
+    assert len(quality.train(docs, graded).names) == 5000 + 30 + 30 + 40
+    few = len(quality.train(docs, graded, held=1).names)
+    assert few in (5000 + 60, 40 + 60)
+
+
 def test_quality_is_learned_and_rows_survive(spark, docs, odd):
     labels = common.table(spark, "/root/testdata/sf0.01", "labels")
     all_ = common.table(spark, "/root/testdata/sf0.01", "documents")
