@@ -92,7 +92,9 @@ def page_segments(wanted: DataFrame, local: DataFrame, report: DataFrame, saved:
 def shave_redacts(redacts: DataFrame, kept: DataFrame) -> DataFrame:
     """Redact rectangles (tag, page, id, box) cut back where they reach a little into a kept line (tag, page, seq, box)
     that stands out beyond their edge: by at most 3, or 30 % of their height if that is less, leaving a margin of 1.
-    A cut that would turn a rectangle over is left out.  Reach is measured on rectangles as they came."""
+    A cut that would turn a rectangle over is left out.  Reach is measured on rectangles as they came; equal ones stay
+    as many as they were."""
+    redacts = redacts.groupBy(*PAGE, "id", "x0", "y0", "x1", "y1").agg(F.count("*").alias("_n"))
     k = kept.select(*PAGE, "seq", F.struct("x0", "y0", "x1", "y1").alias("k"))
     ox = F.least("x1", F.col("k.x1")) - F.greatest("x0", F.col("k.x0"))
     oy = F.least("y1", F.col("k.y1")) - F.greatest("y0", F.col("k.y0"))
@@ -100,7 +102,7 @@ def shave_redacts(redacts: DataFrame, kept: DataFrame) -> DataFrame:
     below = (F.col("y0") < F.col("k.y0")) & (F.col("k.y0") < F.col("y1")) & (F.col("k.y1") >= F.col("y1"))
     above = (F.col("y0") < F.col("k.y1")) & (F.col("k.y1") < F.col("y1")) & (F.col("k.y0") <= F.col("y0"))
     hit = redacts.join(k, PAGE, "left").withColumn("cut", F.when((ox > 0) & (oy > 0) & ~deep & (below | above), F.struct("seq", below.alias("below"), F.when(below, F.col("k.y0") - 1).otherwise(F.col("k.y1") + 1).alias("y"))))
-    rows = hit.groupBy(*PAGE, "id", "x0", "y0", "x1", "y1").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    rows = hit.groupBy(*PAGE, "id", "x0", "y0", "x1", "y1").agg(F.array_sort(F.collect_list("cut")).alias("cuts"), F.first("_n").alias("_n"))
     edges = F.struct(F.col("y0").alias("top"), F.col("y1").alias("bottom"))
 
     def step(e: Column, c: Column) -> Column:
@@ -109,7 +111,8 @@ def shave_redacts(redacts: DataFrame, kept: DataFrame) -> DataFrame:
         return F.struct(top.alias("top"), bottom.alias("bottom"))
 
     done = F.aggregate("cuts", edges, step)
-    return rows.withColumn("e", done).select(*PAGE, "id", "x0", F.col("e.top").alias("y0"), "x1", F.col("e.bottom").alias("y1"))
+    rows = rows.withColumn("e", done).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    return rows.select(*PAGE, "id", "x0", F.col("e.top").alias("y0"), "x1", F.col("e.bottom").alias("y1"))
 
 
 def header_dups(words: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import defects, layout, markers
-from quire.operators import agents, progress, units
+from quire.operators import agents, evidence, progress, units
 from quire.plans import QUERIES, SQL
 from quire.sources import ingest
 
@@ -53,6 +53,13 @@ def test_marker_pairs(spark):
     assert [r[0] for r in values(spark, [(a, b) for a, b, _ in rows], "en string, vi string", markers.check("en", "vi"))] == [c for *_, c in rows]
 
 
+def test_equal_rectangles_are_each_shaved(spark):
+    rectangles = spark.createDataFrame([("t", 1, 7, 0.0, 0.0, 10.0, 20.0)] * 2 + [("t", 2, 7, 0.0, 0.0, 10.0, 20.0)], "tag string, page int, id int, x0 double, y0 double, x1 double, y1 double")
+    kept = spark.createDataFrame([("t", 1, 0, 0.0, 18.0, 10.0, 30.0)], "tag string, page int, seq int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.page, r.y0, r.y1) for r in evidence.shave_redacts(rectangles, kept).collect())
+    assert got == [(1, 0.0, 17.0), (1, 0.0, 17.0), (2, 0.0, 20.0)]
+
+
 def test_number_cells_and_formulas(spark):
     cells = {"1,234.5": True, "EUR0": True, "−USD1,800": True, "(12%)": True, "ABCDE12": False, "year 2020": False, "--": False, "": False}
     assert values(spark, [(c,) for c in cells], "t string", layout.num_cell(F.col("t"))) == [(v,) for v in cells.values()]
