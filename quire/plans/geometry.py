@@ -21,7 +21,7 @@ def marks(s: SparkSession, d: str) -> DataFrame:
     return rows.select("tag", "page", F.concat_ws("-", "line", "span").alias("id"), "x0", (F.col("y0") + by).alias("y0"), "x1", (F.col("y1") + by).alias("y1"))
 
 
-lines = lambda s, d: layout.line_features(views.spans(s, d)).withColumn("segment", F.col("line"))
+lines = lambda s, d: layout.line_places(views.span_lines(s, d)).withColumn("segment", F.col("line"))
 add(
     "highlight_match",
     lambda s, d: geometry.highlight_match(marks(s, d), lines(s, d)),
@@ -35,7 +35,7 @@ SELECT tag, page, id, CASE WHEN share >= 0.6 THEN 'moves' WHEN share > 0 THEN 'r
 def paths(s: SparkSession, d: str) -> DataFrame:
     """Boxes of blocks as vector paths: some flattened to rules, some stroked."""
     h = views.digit("text")
-    rows = layout.block_features(views.spans(s, d)).withColumn("h", h)
+    rows = layout.block_features(views.span_lines(s, d)).withColumn("h", h)
     return rows.select("tag", "page", F.col("block").alias("id"), (F.col("h") > "7").alias("stroked"), "x0", "y0", F.when(F.col("h").isin("3", "c", "d"), "c").when(F.col("h").isin("2", "4"), "l").otherwise("re").alias("shape"), F.when(F.col("h").isin("1", "9"), F.col("x0") + 2).when(F.col("h").isin("3", "a", "c"), F.col("x0") + 8).otherwise(F.col("x1")).alias("x1"), F.when(F.col("h").isin("0", "2", "8"), F.col("y0") + 1).otherwise(F.col("y1")).alias("y1"))
 
 
@@ -48,12 +48,12 @@ v_rules AS (SELECT tag, page, id, CASE WHEN hh <= 2.5 THEN 'h' ELSE 'v' END AS k
 add("drawing_rules", lambda s, d: geometry.drawing_rules(paths(s, d)), f"{RULES} SELECT * FROM v_rules")
 add(
     "clamp_rules",
-    lambda s, d: geometry.clamp_rules(layout.block_features(views.spans(s, d)).withColumn("id", F.col("block")), geometry.drawing_rules(paths(s, d))).fillna({"bottom": -1.0, "right": -1.0}),
+    lambda s, d: geometry.clamp_rules(layout.block_features(views.span_lines(s, d)).withColumn("id", F.col("block")), geometry.drawing_rules(paths(s, d))).fillna({"bottom": -1.0, "right": -1.0}),
     f"""{RULES} SELECT a.tag, a.page, a.block AS id, coalesce(min(r.y0) FILTER (kind = 'h' AND greatest(least(a.x1, r.x1) - greatest(a.x0, r.x0), 0) >= 0.6 * (a.x1 - a.x0) AND r.y0 >= a.y1), -1) AS bottom,
   coalesce(min(r.x0 - 3) FILTER (kind = 'v' AND least(a.y1, r.y1) - greatest(a.y0, r.y0) > 0 AND r.x0 >= a.x1), -1) AS "right" FROM v_block a LEFT JOIN v_rules r ON a.tag = r.tag AND a.page = r.page GROUP BY a.tag, a.page, a.block""",
 )
 points = lambda s, d: views.spans(s, d).filter(F.length("text") == 2).select("tag", (F.col("page") + 1).alias("page"), F.concat_ws("-", F.col("page") + 1, "line", "span").alias("id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + 5).alias("y"))
-boxes = lambda s, d: layout.line_features(views.spans(s, d)).select("tag", "page", F.col("line").alias("id"), "x0", "y0", "x1", "y1").union(layout.block_features(views.spans(s, d)).select("tag", "page", F.col("block") + 10_000, "x0", "y0", "x1", "y1"))
+boxes = lambda s, d: layout.line_places(views.span_lines(s, d)).select("tag", "page", F.col("line").alias("id"), "x0", "y0", "x1", "y1").union(layout.block_features(views.span_lines(s, d)).select("tag", "page", F.col("block") + 10_000, "x0", "y0", "x1", "y1"))
 add(
     "annotation_segment",
     lambda s, d: agents.annotation_segment(points(s, d), boxes(s, d)),
