@@ -180,6 +180,17 @@ def test_runs_that_other_pages_repeat_go(spark):
     assert pages_.main_text(df.limit(0)).count() == 0
 
 
+def test_what_stands_beside_articles_is_known_to_the_host(spark):
+    """A page without an article loses the menu that its host's article pages have beside their articles, and keeps a
+    story that they hold as articles."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    menu, story = say("menu", 12), say("story", 20)
+    rows = [(i, f"https://h.example/{i}", f"<div>{menu}</div><article><p>{story}</p><p>own {i}</p></article>") for i in range(3)]
+    rows += [(3, "https://h.example/3", f"<div>{menu}</div><div>{story}</div>"), (4, "https://other.example/", f"<div>{menu}</div><div>{story}</div>")]
+    got = {r.page_id: r.text for r in pages_.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"{story}\nown {i}" for i in range(3)} | {3: story, 4: f"{menu}\n{story}"}
+
+
 def test_copies_keep_their_text(spark):
     """Copied rows, one page under two URLs, pages without a host, and a paragraph of 2 of 12 pages keep their text;
     the menu of all pages goes."""
