@@ -20,10 +20,10 @@ def arrived(s: SparkSession, df: DataFrame, name: str, by: str | None = None) ->
 
 
 def outputs_to_memory(s: SparkSession, d: str) -> DataFrame:
-    stream, root = arrived(s, views.outputs(s, d), "outputs")
-    start = views.memory(s, d)
-    jobs.outputs_to_memory(stream, views.work_units(s, d), start, f"{root}/out", f"{root}/checkpoint")
-    return jobs.current_memory(s, f"{root}/out", start)
+    work = scratch.keep(views.work_units(s, d).select("tag", "idx", "pos", "k", "id", "text"), "units")
+    stream, root = arrived(s, views.outputs(s, d, work), "outputs")
+    jobs.outputs_to_memory(stream, work, f"{root}/out", f"{root}/checkpoint")
+    return jobs.current_memory(s, f"{root}/out", views.memory(s, d))
 
 
 def stamped(s: SparkSession, d: str) -> DataFrame:

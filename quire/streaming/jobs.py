@@ -17,35 +17,23 @@ def read_outputs(spark: SparkSession, path: str, schema: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _latest(spark: SparkSession, out: str) -> int | None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    found = [str(s.getPath().getName()) for s in fs.listStatus(path)]
-    done = [int(n[1:]) for n in found if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
-    return max(done, default=None)
-
-
-def outputs_to_memory(stream: DataFrame, work: DataFrame, start: DataFrame, out: str, checkpoint: str) -> None:
-    """Merges arriving outputs into the memory.  Each batch writes a new version of the table from the one before, so a
-    batch that is run again after a failure gives the same version."""
-    spark = work.sparkSession
+def outputs_to_memory(stream: DataFrame, work: DataFrame, out: str, checkpoint: str) -> None:
+    """Writes what each batch of arriving outputs adds to the memory, and nothing that is in it: a batch that is run again
+    after a failure writes the same folder.  ``current_memory`` lays the batches over the memory."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = _latest(spark, out)
-        if before is not None and before >= number:
-            before = number - 1
-        held = start if before is None or before < 0 else spark.read.parquet(f"{out}/v{before}")
-        memory.merge_translations(work, batch, held).write.mode("overwrite").parquet(f"{out}/v{number}")
+        memory.fresh_translations(work, batch).write.mode("overwrite").parquet(f"{out}/n={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current_memory(spark: SparkSession, out: str, start: DataFrame) -> DataFrame:
-    last = _latest(spark, out)
-    return start if last is None else spark.read.parquet(f"{out}/v{last}")
+    """The memory that was there at the start with what the batches added; the last batch with a text counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return start
+    added = spark.read.schema("tag string, text string, vi string, n bigint").parquet(out)
+    return memory.upsert(start, added.groupBy("tag", "text").agg(F.max_by("vi", "n").alias("vi")))
 
 
 def generation_filter(stream: DataFrame, generations: DataFrame) -> DataFrame:

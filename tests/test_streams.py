@@ -61,3 +61,16 @@ def test_rejected_outputs_are_kept_beside(spark, tmp_path):
     kept, rejected = jobs.split_by_generation(arrive(spark, tmp_path, batches, "tag string, idx string, stamp string"), generations, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
     assert [tuple(r) for r in kept.select("tag", "idx").collect()] == [("a", "0")]
     assert sorted(tuple(r) for r in rejected.select("tag", "idx", F.coalesce("chunk_gen", F.lit("-"))).collect()) == [("a", "1", "g1"), ("a", "2", "g1"), ("b", "0", "-")]
+
+
+def test_batches_write_what_they_add_to_the_memory(spark, tmp_path):
+    """A later batch counts, also for a text that the memory had; no batch writes the memory again."""
+    work = spark.createDataFrame([("a", "000", i, f"t{i}", f"text {i}") for i in range(3)], "tag string, idx string, pos bigint, id string, text string")
+    start = spark.createDataFrame([("a", "text 0", "old"), ("a", "other", "kept"), ("b", "text 1", "kept")], "tag string, text string, vi string")
+    batches = [[("a", "000", '{"t0": "first", "t1": "first"}')], [("a", "000", '{"t1": "second", "t2": "second"}')], [("a", "000", "[]"), ("c", "000", '{"t0": "none"}')]]
+    out = f"file://{tmp_path}/out"
+    assert jobs.current_memory(spark, out, start).count() == 3
+    jobs.outputs_to_memory(arrive(spark, tmp_path, batches, "tag string, idx string, raw string"), work, out, f"file://{tmp_path}/checkpoint")
+    got = {(r.tag, r.text): r.vi for r in jobs.current_memory(spark, out, start).collect()}
+    assert got == {("a", "text 0"): "first", ("a", "text 1"): "second", ("a", "text 2"): "second", ("a", "other"): "kept", ("b", "text 1"): "kept"}
+    assert spark.read.parquet(out).count() == 4
