@@ -107,3 +107,16 @@ def test_written_volumes_replace_only_themselves(spark, tmp_path):
     ingest.write_table(spark.createDataFrame([("a", 1), ("b", 2)], "tag string, n int"), path)
     ingest.write_table(spark.createDataFrame([("b", 3)], "tag string, n int"), path)
     assert sorted(map(tuple, spark.read.parquet(path).select("tag", "n").collect())) == [("a", 1), ("b", 3)]
+
+
+def test_trusted_items_meet_one_layout(spark):
+    """A volume's items are compared with its report where that is whole, else with its saved layout."""
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    at = (0.0, 0.0, 9.0, 9.0)
+    local = spark.createDataFrame([(t, 0, 0, "s0", "text", at) for t in "ab"], f"tag string, page bigint, pos bigint, id string, en string, box {box}")
+    report = spark.createDataFrame([("a", 0, 0, "r0", "text", "told", at)], f"tag string, page bigint, pos bigint, id string, source string, translation string, box {box}")
+    saved = spark.createDataFrame([(t, 0, 0, "s0", at) for t in "ab"], f"tag string, page bigint, pos bigint, id string, box {box}")
+    overrides = spark.createDataFrame([], "tag string, id string, en string, vi string")
+    memory = spark.createDataFrame([("b", "text", "known")], "tag string, text string, vi string")
+    out = evidence.page_segments(local, local, report, saved, overrides, memory)
+    assert sorted((r.tag, r.id, r.vi) for r in out.collect()) == [("a", "r0", "told"), ("b", "s0", "known")]
