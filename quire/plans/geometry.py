@@ -11,7 +11,7 @@ from quire.operators import review as review_ops
 from quire.plans.layout import BLOCKS, LINES
 from quire.plans.registry import add
 from quire.plans.work import RESOLVED, overrides
-from quire.sources import views
+from quire.sources import scratch, views
 
 
 def marks(s: SparkSession, d: str) -> DataFrame:
@@ -32,11 +32,14 @@ SELECT tag, page, id, CASE WHEN share >= 0.6 THEN 'moves' WHEN share > 0 THEN 'r
 )
 
 
-def paths(s: SparkSession, d: str) -> DataFrame:
+def hashed(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of blocks (id, box) with the digit of their text."""
+    return layout.block_features(views.span_lines(s, d)).select("tag", "page", F.col("block").alias("id"), *layout.BOX, views.digit("text").alias("h"))
+
+
+def paths(rows: DataFrame) -> DataFrame:
     """Boxes of blocks as vector paths: some flattened to rules, some stroked."""
-    h = views.digit("text")
-    rows = layout.block_features(views.span_lines(s, d)).withColumn("h", h)
-    return rows.select("tag", "page", F.col("block").alias("id"), (F.col("h") > "7").alias("stroked"), "x0", "y0", F.when(F.col("h").isin("3", "c", "d"), "c").when(F.col("h").isin("2", "4"), "l").otherwise("re").alias("shape"), F.when(F.col("h").isin("1", "9"), F.col("x0") + 2).when(F.col("h").isin("3", "a", "c"), F.col("x0") + 8).otherwise(F.col("x1")).alias("x1"), F.when(F.col("h").isin("0", "2", "8"), F.col("y0") + 1).otherwise(F.col("y1")).alias("y1"))
+    return rows.select("tag", "page", "id", (F.col("h") > "7").alias("stroked"), "x0", "y0", F.when(F.col("h").isin("3", "c", "d"), "c").when(F.col("h").isin("2", "4"), "l").otherwise("re").alias("shape"), F.when(F.col("h").isin("1", "9"), F.col("x0") + 2).when(F.col("h").isin("3", "a", "c"), F.col("x0") + 8).otherwise(F.col("x1")).alias("x1"), F.when(F.col("h").isin("0", "2", "8"), F.col("y0") + 1).otherwise(F.col("y1")).alias("y1"))
 
 
 RULES = f"""{BLOCKS}, v_path AS (SELECT tag, page, block AS id, h > '7' AS stroked, x0, y0, CASE WHEN h IN ('3', 'c', 'd') THEN 'c' WHEN h IN ('2', '4') THEN 'l' ELSE 're' END AS shape, CASE WHEN h IN ('1', '9') THEN x0 + 2 WHEN h IN ('3', 'a', 'c') THEN x0 + 8 ELSE x1 END AS x1, CASE WHEN h IN ('0', '2', '8') THEN y0 + 1 ELSE y1 END AS y1 FROM (SELECT *, substr(md5(text), 1, 1) AS h FROM v_block)),
@@ -45,10 +48,18 @@ v_rules AS (SELECT tag, page, id, CASE WHEN hh <= 2.5 THEN 'h' ELSE 'v' END AS k
   UNION ALL SELECT tag, page, id, 'h', x0, unnest([y0, y1]) AS y, x1, y FROM v_form WHERE shape = 're' AND NOT plain AND stroked AND w >= 30
   UNION ALL SELECT tag, page, id, 'v', unnest([x0, x1]) AS x, y0, x, y1 FROM v_form WHERE shape = 're' AND NOT plain AND stroked AND hh >= 30
   UNION ALL SELECT tag, page, id, 'v', x0, y0, x0 + 1, y1 FROM v_form WHERE stroked AND w <= 12 AND hh >= 30)"""
-add("drawing_rules", lambda s, d: geometry.drawing_rules(paths(s, d)), f"{RULES} SELECT * FROM v_rules")
+add("drawing_rules", lambda s, d: geometry.drawing_rules(paths(hashed(s, d))), f"{RULES} SELECT * FROM v_rules")
+
+
+def clamped(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of blocks held by the rules of their page, both from blocks derived once."""
+    rows = scratch.keep(hashed(s, d), "clamp_blocks")
+    return geometry.clamp_rules(rows, geometry.drawing_rules(paths(rows))).fillna({"bottom": -1.0, "right": -1.0})
+
+
 add(
     "clamp_rules",
-    lambda s, d: geometry.clamp_rules(layout.block_features(views.span_lines(s, d)).withColumn("id", F.col("block")), geometry.drawing_rules(paths(s, d))).fillna({"bottom": -1.0, "right": -1.0}),
+    clamped,
     f"""{RULES} SELECT a.tag, a.page, a.block AS id, coalesce(min(r.y0) FILTER (kind = 'h' AND greatest(least(a.x1, r.x1) - greatest(a.x0, r.x0), 0) >= 0.6 * (a.x1 - a.x0) AND r.y0 >= a.y1), -1) AS bottom,
   coalesce(min(r.x0 - 3) FILTER (kind = 'v' AND least(a.y1, r.y1) - greatest(a.y0, r.y0) > 0 AND r.x0 >= a.x1), -1) AS "right" FROM v_block a LEFT JOIN v_rules r ON a.tag = r.tag AND a.page = r.page GROUP BY a.tag, a.page, a.block""",
 )
