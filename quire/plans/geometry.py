@@ -63,11 +63,22 @@ add(
     f"""{RULES} SELECT a.tag, a.page, a.block AS id, coalesce(min(r.y0) FILTER (kind = 'h' AND greatest(least(a.x1, r.x1) - greatest(a.x0, r.x0), 0) >= 0.6 * (a.x1 - a.x0) AND r.y0 >= a.y1), -1) AS bottom,
   coalesce(min(r.x0 - 3) FILTER (kind = 'v' AND least(a.y1, r.y1) - greatest(a.y0, r.y0) > 0 AND r.x0 >= a.x1), -1) AS "right" FROM v_block a LEFT JOIN v_rules r ON a.tag = r.tag AND a.page = r.page GROUP BY a.tag, a.page, a.block""",
 )
-points = lambda s, d: views.spans(s, d).filter(F.length("text") == 2).select("tag", (F.col("page") + 1).alias("page"), F.concat_ws("-", F.col("page") + 1, "line", "span").alias("id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + 5).alias("y"))
-boxes = lambda s, d: layout.line_places(views.span_lines(s, d)).select("tag", "page", F.col("line").alias("id"), "x0", "y0", "x1", "y1").union(layout.block_features(views.span_lines(s, d)).select("tag", "page", F.col("block") + 10_000, "x0", "y0", "x1", "y1"))
+
+
+def noted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points in spans of two characters, and the boxes of lines and of their blocks: all from lines whose spans are
+    derived once."""
+    middle = lambda w: F.struct("line", w["span"].alias("span"), ((w["x0"] + w["x1"]) / 2).alias("x"), (w["y0"] + 5).alias("y"))
+    held = F.transform(F.filter("items", lambda w: F.length(w["text"]) == 2), middle)
+    lines = scratch.keep(views.span_lines(s, d).select(*layout.LINE, *[c.alias(n) for n, c in layout.box(F.col("items")).items()], held.alias("points")), "noted_lines")
+    points = lines.select("tag", (F.col("page") + 1).alias("page"), F.explode("points").alias("p")).select("tag", "page", F.concat_ws("-", "page", "p.line", "p.span").alias("id"), "p.x", "p.y")
+    blocks = lines.groupBy(*layout.BLOCK).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return points, lines.select("tag", "page", F.col("line").alias("id"), *layout.BOX).union(blocks.select("tag", "page", F.col("block") + 10_000, *layout.BOX))
+
+
 add(
     "annotation_segment",
-    lambda s, d: agents.annotation_segment(points(s, d), boxes(s, d)),
+    lambda s, d: agents.annotation_segment(*noted(s, d)),
     f"""{BLOCKS}, b AS (SELECT tag, page, line AS segment, x0, y0, x1, y1 FROM v_line UNION ALL SELECT tag, page, block + 10000, x0, y0, x1, y1 FROM v_block)
 SELECT s.tag, (s.page + 1) || '-' || s.line || '-' || s.span AS id, arg_min(b.segment, ((b.x1 - b.x0) * (b.y1 - b.y0), b.segment)) AS segment FROM v_spans s JOIN b ON s.tag = b.tag AND s.page = b.page AND (s.x0 + s.x1) / 2 BETWEEN b.x0 AND b.x1 AND s.y0 + 5 BETWEEN b.y0 AND b.y1 WHERE length(s.text) = 2 GROUP BY s.tag, s.page, s.line, s.span""",
 )
