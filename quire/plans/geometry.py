@@ -14,17 +14,20 @@ from quire.plans.work import RESOLVED, overrides
 from quire.sources import scratch, views
 
 
-def marks(s: SparkSession, d: str) -> DataFrame:
-    """Spans of some words as marks; every other is moved half a line down or out of the page."""
-    rows = views.spans(s, d).filter(views.digit("text").isin("3", "4", "5"))
-    by = F.when(views.digit("text") == "4", 6.0).when(views.digit("text") == "5", 900.0).otherwise(0.0)
-    return rows.select("tag", "page", F.concat_ws("-", "line", "span").alias("id"), "x0", (F.col("y0") + by).alias("y0"), "x1", (F.col("y1") + by).alias("y1"))
+def marked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of some words as marks, of which every other is moved half a line down or out of the page, and the lines'
+    boxes: both from lines whose spans are derived once."""
+    h = lambda w: views.digit(w["text"])
+    chosen = F.transform(F.filter("items", lambda w: h(w).isin("3", "4", "5")), lambda w: F.struct("line", w["span"].alias("span"), h(w).alias("h"), *[w[c].alias(c) for c in layout.BOX]))
+    rows = scratch.keep(views.span_lines(s, d).select("tag", "page", F.col("line").alias("segment"), *[c.alias(n) for n, c in layout.box(F.col("items")).items()], chosen.alias("marks")), "marked_lines")
+    by = F.when(F.col("m.h") == "4", 6.0).when(F.col("m.h") == "5", 900.0).otherwise(0.0)
+    marks = rows.select("tag", "page", F.explode("marks").alias("m"))
+    return marks.select("tag", "page", F.concat_ws("-", "m.line", "m.span").alias("id"), "m.x0", (F.col("m.y0") + by).alias("y0"), "m.x1", (F.col("m.y1") + by).alias("y1")), rows.drop("marks")
 
 
-lines = lambda s, d: layout.line_places(views.span_lines(s, d)).withColumn("segment", F.col("line"))
 add(
     "highlight_match",
-    lambda s, d: geometry.highlight_match(marks(s, d), lines(s, d)),
+    lambda s, d: geometry.highlight_match(*marked(s, d)),
     f"""{LINES}, a AS (SELECT tag, page, line || '-' || span AS id, x0, x1, y0 + m AS y0, y1 + m AS y1 FROM (SELECT *, CASE substr(md5(text), 1, 1) WHEN '4' THEN 6 WHEN '5' THEN 900 ELSE 0 END AS m FROM v_spans WHERE substr(md5(text), 1, 1) IN ('3', '4', '5'))),
 c AS (SELECT a.tag, a.page, a.id, l.line, greatest(least(a.x1, l.x1) - greatest(a.x0, l.x0), 0) * greatest(least(a.y1, l.y1) - greatest(a.y0, l.y0), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0)) AS share FROM a JOIN v_line l ON a.tag = l.tag AND a.page = l.page),
 b AS (SELECT tag, page, id, max(share) AS share, arg_min(line, (-share, line)) AS segment FROM c GROUP BY tag, page, id)

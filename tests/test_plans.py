@@ -122,7 +122,7 @@ def test_trusted_items_meet_one_layout(spark):
     assert sorted((r.tag, r.id, r.vi) for r in out.collect()) == [("a", "r0", "told"), ("b", "s0", "known")]
 
 
-@pytest.mark.parametrize("name", ["clamp_rules", "annotation_segment", "orphan_bullets"])
+@pytest.mark.parametrize("name", ["clamp_rules", "annotation_segment", "orphan_bullets", "highlight_match"])
 def test_spans_are_derived_once(spark, sf_dir, name):
     """What is compared on a page comes from one table of lines or blocks, not from ``documents`` for each side."""
     assert not [f for f in QUERIES[name](spark, sf_dir).inputFiles() if "documents" in f]
