@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import defects, layout, markers
 from quire.operators import agents, evidence, progress, units
+from quire.operators import layout as places
 from quire.plans import QUERIES, SQL
 from quire.sources import ingest
 
@@ -126,3 +127,20 @@ def test_trusted_items_meet_one_layout(spark):
 def test_spans_are_derived_once(spark, sf_dir, name):
     """What is compared on a page comes from one table of lines or blocks, not from ``documents`` for each side."""
     assert not [f for f in QUERIES[name](spark, sf_dir).inputFiles() if "documents" in f]
+
+
+def test_boxes_end_above_what_begins_inside_them(spark):
+    """Obstacles on a box's bottom edge or inside the box hold it as well, one after the other in the order of their ids."""
+    box = "tag string, page bigint, id bigint, x0 double, y0 double, x1 double, y1 double"
+    dims = spark.createDataFrame([("t", p, 612.0, 792.0) for p in range(6)], "tag string, page bigint, width double, height double")
+    rows = {
+        0: ([(0.0, 10.0, 50.0, 100.0), (0.0, 100.0, 50.0, 150.0)], 98.0),  # on the bottom edge
+        1: ([(0.0, 10.0, 50.0, 100.0), (0.0, 60.0, 50.0, 150.0)], 58.0),  # inside
+        2: ([(0.0, 10.0, 50.0, 100.0), (0.0, 12.0, 50.0, 150.0), (48.0, 60.0, 90.0, 150.0)], 742.0),  # as high as the box, or beside it but for 2
+        3: ([(0.0, 10.0, 50.0, 100.0), (49.0, 100.5, 90.0, 150.0), (0.0, 200.0, 50.0, 250.0)], 198.0),  # half a point below and beside it
+        4: ([(0.0, 10.0, 50.0, 100.0), (0.0, 60.0, 50.0, 70.0), (0.0, 59.0, 50.0, 70.0)], 58.0),  # the first leaves the second below
+        5: ([(0.0, 10.0, 50.0, 100.0), (0.0, 59.0, 50.0, 70.0), (0.0, 60.0, 50.0, 70.0)], 57.0),
+    }
+    boxes = spark.createDataFrame([("t", p, i, *b) for p, (found, _) in rows.items() for i, b in enumerate(found)], box)
+    got = {r.page: r.limit for r in places.bottom_limit(boxes, boxes, dims).filter("id = 0").collect()}
+    assert got == {p: limit for p, (_, limit) in rows.items()}
