@@ -11,7 +11,7 @@ from quire.functions import defects, layout, markers
 from quire.operators import agents, evidence, progress, units
 from quire.operators import layout as places
 from quire.plans import QUERIES, SQL
-from quire.sources import ingest
+from quire.sources import ingest, views
 
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
 
@@ -144,3 +144,17 @@ def test_boxes_end_above_what_begins_inside_them(spark):
     boxes = spark.createDataFrame([("t", p, i, *b) for p, (found, _) in rows.items() for i, b in enumerate(found)], box)
     got = {r.page: r.limit for r in places.bottom_limit(boxes, boxes, dims).filter("id = 0").collect()}
     assert got == {p: limit for p, (_, limit) in rows.items()}
+
+
+def scans(df):
+    """How often a plan reads ``documents``."""
+    return sum("Relation" in line and "doc_id#" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+@pytest.mark.parametrize("name", ["same_slot"])
+def test_documents_are_read_once(spark, sf_dir, name):
+    assert scans(QUERIES[name](spark, sf_dir)) <= 1
+
+
+def test_lines_hold_the_fields_that_are_asked_for(spark, sf_dir):
+    assert views.span_lines(spark, sf_dir, *places.BOX).schema["items"].dataType.elementType.names == places.BOX
