@@ -95,7 +95,7 @@ def live_dedupe(s: SparkSession, d: str) -> DataFrame:
 def stored(s: SparkSession, d: str) -> DataFrame:
     """The memory written in folders of volumes and read again."""
     path = f"{scratch.folder(s, 'memory')}/table"
-    ingest.write_table(views.memory(s, d).repartition("tag"), path)
+    ingest.write_table(views.memory(s, d), path)
     return s.read.parquet(path).select("tag", "text", "vi")
 
 

@@ -110,6 +110,17 @@ def test_written_volumes_replace_only_themselves(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).select("tag", "n").collect())) == [("a", 1), ("b", 3)]
 
 
+def test_volumes_share_folders(spark, tmp_path):
+    """Many volumes are few folders; a volume beside others of its folder is replaced alone, one without a name too."""
+    path = f"file://{tmp_path}/memory"
+    tag = F.when(F.col("id") > 0, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("tag")
+    ingest.write_table(spark.range(1000).select(tag, F.col("id").alias("n")), path)
+    assert len([d for d in os.listdir(f"{tmp_path}/memory") if "=" in d]) <= ingest.BUCKETS
+    ingest.write_table(spark.range(0, 1000, 50).select(tag, (-F.col("id") - 1).alias("n")), path)
+    got = {r.tag: r.n for r in spark.read.parquet(path).collect()}
+    assert got == {f"v{i}" if i else None: i if i % 50 else -i - 1 for i in range(1000)} and spark.read.parquet(path).count() == 1000
+
+
 def test_trusted_items_meet_one_layout(spark):
     """A volume's items are compared with its report where that is whole, else with its saved layout."""
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
