@@ -169,3 +169,9 @@ def test_documents_are_read_once(spark, sf_dir, name):
 
 def test_lines_hold_the_fields_that_are_asked_for(spark, sf_dir):
     assert views.span_lines(spark, sf_dir, *places.BOX).schema["items"].dataType.elementType.names == places.BOX
+
+
+def test_glossary_lowers_each_text_once(spark, sf_dir):
+    """Not once for each term that it meets."""
+    joins = [line for line in QUERIES["glossary_relevant"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "ontains(" in line]
+    assert joins and not any("lower(" in j for j in joins)
