@@ -162,7 +162,7 @@ def scans(df):
     return sum("Relation" in line and "doc_id#" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
 
 
-@pytest.mark.parametrize("name", ["same_slot", "label_rows", "shave_redacts"])
+@pytest.mark.parametrize("name", ["same_slot", "label_rows", "shave_redacts", "same_y_stitch"])
 def test_documents_are_read_once(spark, sf_dir, name):
     assert scans(QUERIES[name](spark, sf_dir)) <= 1
 
