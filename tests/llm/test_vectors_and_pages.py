@@ -191,6 +191,22 @@ def test_what_stands_beside_articles_is_known_to_the_host(spark):
     assert got == {i: f"{story}\nown {i}" for i in range(3)} | {3: story, 4: f"{menu}\n{story}"}
 
 
+@pytest.mark.parametrize("pages_a_group", [8192, 3])
+def test_articles_meet_their_host_too(spark, sf_dir, monkeypatch, pages_a_group):
+    """Runs of a text that other rows of the host hold are counted, whether it is an article or not; by brute force."""
+    monkeypatch.setattr(pages_, "PAGES", pages_a_group)
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, f"https://h{i % 2}.example/{i}", f"<article><p>{say('quote', 10 + i % 5)}</p><p>{say(f'own{i}x', 3)}</p></article>") for i in range(700)]
+    rows += [(700, "https://h0.example/700", f"<div>{say('quote', 9)} {say('new', 9)}</div>"), (701, "https://h0.example/701", f"<article>{say('quote', 7)}</article>"), (702, None, f"<article>{say('quote', 9)}</article>"), (703, "https://h1.example/", None)]
+    rows += [(1000 + r.page_id, r.url, r.html) for r in common.table(spark, sf_dir, "pages").collect()] * 2
+    found = pages_.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    hosts = [(r.url or "").split("//")[-1].split("/")[0] for r in found]
+    runs = [[tuple(t[i : i + pages_.RUN]) for i in range(len(t) - pages_.RUN + 1)] for t in (r.text.split() for r in found)]
+    held = Counter((h, x) for h, own in zip(hosts, runs) for x in set(own) if h)
+    assert [r.n_repeated for r in found] == [sum(held[h, x] > 1 for x in own) for h, own in zip(hosts, runs)]
+    assert sum(r.n_repeated > 0 for r in found) > 700
+
+
 def test_copies_keep_their_text(spark):
     """Copied rows, one page under two URLs, pages without a host, and a paragraph of 2 of 12 pages keep their text;
     the menu of all pages goes."""
