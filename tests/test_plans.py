@@ -175,3 +175,10 @@ def test_glossary_lowers_each_text_once(spark, sf_dir):
     """Not once for each term that it meets."""
     joins = [line for line in QUERIES["glossary_relevant"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "ontains(" in line]
     assert joins and not any("lower(" in j for j in joins)
+
+
+@pytest.mark.parametrize("name", ["bullet_groups", "heading_split_runs"])
+def test_lines_with_grid_stay_with_their_page(spark, sf_dir, name):
+    """No line is sent to its place on the page to learn whether a table's line stands there, and none carries its kinds."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "kinds" not in plan and not any("Join" in line and "kx" in line for line in plan.splitlines())
